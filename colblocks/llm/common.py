@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +75,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, tota
         cond[0] = cond[0] & i
     j = j.join(light, cond[0], "left")
     return j.select(*left.columns, *[F.coalesce(F.col(f"_heavy.{p}"), F.col(f"_light.{p}")).alias(p) for p in payload])
+
+
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one after the other."""
+    return np.arange(int(lens.sum())) + np.repeat(starts - np.cumsum(lens) + lens, lens)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, simhash
+from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_simhash": simhash.op2,
+    "op4_licenses": licenses.op4,
+    "op5_warc": warc.op5,
+    "op6_langid": langid.op6,
+    "op8_pieces": pieces.op8,
     "op9_mixing": mixing.op9,
+    "op10_quality": quality.op10,
 }
-ORACLE = {"op1_line_dedup": line_dedup.OP1_SQL}
+ORACLE = {"op1_line_dedup": line_dedup.OP1_SQL, "op5_warc": warc.OP5_SQL}
