@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, warc
+from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, substrings, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_licenses": licenses.op4,
     "op5_warc": warc.op5,
     "op6_langid": langid.op6,
+    "op7_substrings": substrings.op7,
     "op8_pieces": pieces.op8,
     "op9_mixing": mixing.op9,
     "op10_quality": quality.op10,
