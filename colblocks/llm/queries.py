@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, substrings, warc
+from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, substrings, vectors, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_simhash": simhash.op2,
+    "op3_vectors": vectors.op3,
     "op4_licenses": licenses.op4,
     "op5_warc": warc.op5,
     "op6_langid": langid.op6,
