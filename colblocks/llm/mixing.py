@@ -40,41 +40,70 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights=(5, 2, 1), max_ep
     return by.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, source, th, size, source_size, target, whole, part, taken).
-
-    ``whole`` repetitions of a document are taken in full; ``part`` words of one more are, for the document in which the
-    fractional repetition of its source ends. Documents stand in a seeded hash order of (doc_id, text); those before the
-    boundary are taken once more. Thus a source's words meet its target to the word, no document exceeds
-    ``max_epochs`` times its size, and reruns agree. Null or empty texts have size 0 and are taken 0 times over; a null source
-    is a source of its own. Rows alike in all but place are interchangeable: which of them the boundary cuts is arbitrary,
-    but the returned set of rows is the same.
-
-    The boundary is found by a histogram of BUCKETS hash buckets per source (combined before its shuffle); only
-    documents of the bucket that holds the boundary are put in order.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    u = F.xxhash64(F.lit(seed), "doc_id", "text")
-    sizes = scratch.stage(docs.select("doc_id", "source", F.xxhash64("text").alias("th"), n_words().alias("size"), u.alias("u")), "sizes").withColumn("b", F.shiftrightunsigned("u", 52).cast("int"))
-    targets = source_targets(sizes, scratch, weights, max_epochs)
+def _marked(docs: DataFrame, size, seed: int) -> DataFrame:
+    """_size, the seeded place _u of a document in the order of its source, and the bucket _b of that place."""
+    out = docs.withColumns({"_size": size, "_u": F.xxhash64(F.lit(seed), "doc_id", "text")})
+    return out.withColumn("_b", F.shiftrightunsigned("_u", 52).cast("int"))
+
+
+def _plan(marked: DataFrame, scratch: Scratch, weights, max_epochs: int) -> DataFrame:
+    """Per source: whole repetitions, words of the fractional one, and the bucket in which it ends with the words before."""
+    targets = source_targets(marked.select("source", F.col("_size").alias("size")), scratch, weights, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = scratch.stage(targets.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "targets")
-    hist = sizes.groupBy("source", "b").agg(F.sum("size").alias("s"))
-    before = F.sum("s").over(Window.partitionBy("source").orderBy("b")) - F.col("s")
-    hist = hist.withColumn("before", before).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("s") >= F.col("rest")))
-    cut = hist.select(F.col("source").alias("_s2"), F.col("b").alias("cut"), "before")
-    per = scratch.stage(targets.join(cut, F.col("source").eqNullSafe(F.col("_s2")), "left").drop("_s2").withColumnRenamed("source", "_s"), "per_source")
-    j = sizes.join(per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    cols = ["doc_id", "source", "th", "size", "source_size", "target", "whole"]
-    rows = Window.partitionBy("source").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("b") == F.col("cut")
-    edge = j.where(at).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(rows), F.lit(0)))
-    edge = edge.select(*cols, F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead"))).cast("long").alias("part"))
-    rest = j.where(~F.coalesce(at, F.lit(False))).select(*cols, F.when(F.col("b") < F.col("cut"), F.col("size")).otherwise(F.lit(0)).cast("long").alias("part"))
-    return rest.unionByName(edge).withColumn("taken", F.col("whole") * F.col("size") + F.col("part"))
+    hist = marked.groupBy("source", "_b").agg(F.sum("_size").alias("s"))
+    hist = hist.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("_b")) - F.col("s"))
+    hist = hist.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    cut = hist.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("s") >= F.col("rest"))).select(F.col("source").alias("_s"), F.col("_b").alias("cut"), "before")
+    per = targets.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return scratch.stage(per.select(*[F.col(c).alias(f"_p_{c}") for c in ("source", "source_size", "target", "whole", "rest", "cut", "before")]), "plan")
+
+
+def _apply(marked: DataFrame, plan: DataFrame) -> DataFrame:
+    cols = [c for c in marked.columns if c not in ("_u", "_b")]
+    j = marked.join(plan, F.col("source").eqNullSafe(F.col("_p_source")))
+    out = [F.col("_p_source_size").alias("_source_size"), F.col("_p_target").alias("_target"), F.col("_p_whole").alias("_whole")]
+    at = F.coalesce(F.col("_b") == F.col("_p_cut"), F.lit(False))
+    ahead = F.col("_p_before") + F.coalesce(F.sum("_size").over(Window.partitionBy("source").orderBy("_u", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = j.where(at).withColumn("_ahead", ahead)
+    edge = edge.select(*cols, *out, F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_p_rest") - F.col("_ahead"))).cast("long").alias("_part"))
+    rest = j.where(~at).select(*cols, *out, F.when(F.col("_b") < F.col("_p_cut"), F.col("_size")).otherwise(F.lit(0)).cast("long").alias("_part"))
+    return rest.unionByName(edge).withColumn("_taken", F.col("_whole") * F.col("_size") + F.col("_part"))
+
+
+def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 17, keep_text: bool = True) -> DataFrame:
+    """The columns of ``docs(doc_id, text, source, ...)`` with _size, _source_size, _target, _whole, _part and _taken.
+
+    ``_whole`` repetitions of a document are taken in full; ``_part`` words of one more are, less than all only for the document in
+    which the fractional repetition of its source ends. Documents stand in a seeded hash order of (doc_id, text); those
+    before the boundary are taken once more. Thus a source's words meet its target to the word, no document exceeds
+    ``max_epochs`` times its size, and reruns agree. Null or empty texts have size 0; a null source is a source of its own.
+    Rows alike in all columns are interchangeable: which of them the boundary cuts is arbitrary, the set of rows is not.
+
+    The boundary is found by a histogram of BUCKETS hash buckets per source (combined before its shuffle); only documents of
+    the one bucket that holds it are put in order. Texts are never shuffled. The plan has a row per source; Spark checks
+    its size before it broadcasts it and else splits hot sources.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
+    marked = _marked(docs, n_words(), seed)
+    slim = scratch.stage(marked.drop(*[c for c in docs.columns if c not in ("doc_id", "source")]), "sizes")
+    plan = _plan(slim, scratch, weights, max_epochs)
+    return _apply(marked if keep_text else slim, plan)
+
+
+def repetitions(mixed: DataFrame) -> DataFrame:
+    """The mix itself: each document as often as it is taken; a fractional repetition ends with its last word."""
+    columns = [c for c in mixed.columns if c not in ("_size", "_source_size", "_target", "_whole", "_part", "_taken")]
+    whole = F.col("_whole").cast("int") + F.when((F.col("_part") == F.col("_size")) & (F.col("_part") > 0), 1).otherwise(0)
+    cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
+    copies = F.when(cut, F.concat(F.array_repeat(F.lit(False), whole), F.array(F.lit(True)))).otherwise(F.array_repeat(F.lit(False), whole))
+    out = mixed.withColumn("_cut", F.explode(copies))
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    text = F.when(F.col("_cut"), F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")).otherwise(F.col("text"))
+    return out.withColumn("text", text).select(*columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(docs, keep_text=False)
+    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, substrings, vectors, warc
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_pieces": pieces.op8,
     "op9_mixing": mixing.op9,
     "op10_quality": quality.op10,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_line_dedup": line_dedup.OP1_SQL, "op5_warc": warc.OP5_SQL}

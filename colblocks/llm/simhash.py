@@ -43,7 +43,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps)], names=["doc_id", "th", "fp"])
 
 
 def popcount_code(fp: Column) -> Column:
@@ -82,14 +82,15 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable.
+    """(doc_id, th, fp, component_id) per row of ``docs(doc_id, text)``; component_id is the smallest doc_id
+    reachable, th the hash of the text.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Null doc_ids never name a component unless
     all of its members are null. Repeated rows are returned as often as they come.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    prints = scratch.stage(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "prints")
+    prints = scratch.stage(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints, "doc_id long, th long, fp long"), "prints")
     classes = scratch.stage(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")), "classes")
     parts = connected_components(fingerprint_links(classes, scratch), scratch)
     rooted = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
