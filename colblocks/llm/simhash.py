@@ -75,7 +75,9 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """
     cells = distinct.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    near = scratch.stage(cells.join(shared, "cell", "left_semi").select("fp").distinct(), "near")
+    shared = scratch.stage(shared.select("cell"), "shared")
+    # Merged at every size: shared cells grow with the corpus, and the merge lets AQE split the cell of a large group.
+    near = scratch.stage(cells.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct(), "near")
     words = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)])
     around = near.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
     return around.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b"))
