@@ -326,14 +326,15 @@ def _remove(bits: int, keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = 4 << 20, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bytes: int = 2 << 20, bucket_bytes: int = 1 << 20, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs(doc_id, text)``.
 
     Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id. Texts are their UTF-8
     bytes; null and empty texts have none and texts under 50 bytes lose none. Rows that share a doc_id don't remove from each
     other; a null doc_id counts as smaller than all others.
 
-    The corpus is cut into parts, ranges of doc_id of about ``part_bytes``; and the hashes into buckets. Five steps:
+    The corpus is cut into parts, ranges of doc_id of about ``part_bytes``; and the hashes into as many buckets as the
+    corpus has ``bucket_bytes``. Five steps:
     1. A part offers the distinct keys of its windows (the least hash of a window's grams).
     2. A bucket names the keys that more than one document has; windows under other keys are unique, so none is missed.
     3. A part sends each distinct string under its shared keys once, however many copies it holds.
@@ -345,7 +346,7 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 4 << 20, keep_bytes: bool
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).head()
     count = max(1, math.ceil(total / part_bytes))
-    bits = max(1, (count - 1).bit_length() - 1)
+    bits = max(1, math.ceil(total / bucket_bytes).bit_length())
     cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)).head()[0] if count > 1 and n else []
     splits = [-math.inf, *sorted({float(c) for c in cuts or []}), math.inf]
     spread = docs.withColumn("_d", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("double"))
