@@ -79,7 +79,8 @@ def read_csv(spark: SparkSession, path: str, schema: list[tuple[str, str]], sep:
     """
     if only_type is not None and only_type not in ALIASES:
         raise ValueError(f"unknown type {only_type!r}")
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n, _ in schema])).csv(path, sep=sep, quote="", nullValue=_NEVER, mode="FAILFAST")
+    # Without pruning each row is parsed whole, so ragged rows are seen whatever columns are asked for.
+    raw = spark.read.option("columnPruning", False).schema(T.StructType([T.StructField(n, T.StringType()) for n, _ in schema])).csv(path, sep=sep, quote="", nullValue=_NEVER, mode="FAILFAST")
     out = []
     for name, kind in schema:
         if kind not in ALIASES or (columns is not None and name not in columns) or (only_type is not None and ALIASES[kind] != ALIASES[only_type]):
