@@ -66,17 +66,26 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def decimal_exponent(c: Column, max_bits: int = 31, largest: int = 22) -> Column:
-    """The least e for which n = round(v / 10^-e) fits ``max_bits`` bits and n * 10^-e is v again; null if there is none."""
-    limit = float((1 << max_bits) - 1)
-    tries = F.array(*[F.struct(F.lit(e).alias("e"), F.lit(f).alias("f")) for e, f in enumerate(FRACTIONS[: largest + 1])])
-    n = lambda t: F.round(c / t["f"])
-    fits = F.filter(tries, lambda t: (n(t) >= 0) & (n(t) <= limit) & (n(t) * t["f"] == c))
-    return F.get(fits, F.lit(0))["e"]
+    """The least e for which n = round(v / 10^-e) fits ``max_bits`` bits and n * 10^-e is v again; null if there is none.
+
+    A chain of branches, so a value stops at its exponent. How halves are rounded makes no difference: n and n + 1/2 times
+    a fraction are never the same value.
+    """
+    limit, out = float((1 << max_bits) - 1), None
+    for e, f in enumerate(FRACTIONS[: largest + 1]):
+        n = F.rint(c / F.lit(f))
+        fits = (n * F.lit(f) == c) & (n >= 0) & (n <= limit)
+        out = F.when(fits, e) if out is None else out.when(fits, e)
+    return out
+
+
+def _fraction(exponent: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, FRACTIONS)), (exponent + 1).cast("int"))
 
 
 def decimal_number(c: Column, exponent: Column) -> Column:
-    return F.round(c / F.element_at(F.array(*map(F.lit, FRACTIONS)), (exponent + 1).cast("int"))).cast("long")
+    return F.rint(c / _fraction(exponent)).cast("long")
 
 
 def decimal_value(n: Column, exponent: Column) -> Column:
-    return n.cast("double") * F.element_at(F.array(*map(F.lit, FRACTIONS)), (exponent + 1).cast("int"))
+    return n.cast("double") * _fraction(exponent)
