@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 DIMS = 4096
 PIECE = 1 << 20
+#: Samples of a size class that it takes to reject by its least cosine.
+FLOOR_SAMPLES = 20
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.zeros(256, bool)
 _KEEP[0x61:0x7B] = _KEEP[0x80:] = True
@@ -86,8 +88,8 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
     """Fit on at most about ``per_lang`` rows of ``docs(doc_id, text, lang)`` per language (a hash sample; the model's only bound).
 
     Rows with a null text or lang or without a letter are not learned from. A text is rejected if its cosine is under
-    ``slack`` times the least that sampled texts of its size class (power of two of n-grams) or smaller ones reach. None if nothing
-    can be learned from.
+    ``slack`` times the least that sampled texts of its size class (power of two of n-grams) reach; a class with fewer than
+    FLOOR_SAMPLES of them goes by the next smaller one, the smallest rejects none. None if nothing can be learned from.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -112,6 +114,7 @@ def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float =
     best = np.stack([(x @ p.T).max(axis=1) for p in parts], axis=1)[np.arange(len(x)), own]
     least, kinds = np.full(32, np.inf), size_class(counts)
     np.minimum.at(least, kinds, best)
+    least[np.bincount(kinds, minlength=32) < FLOOR_SAMPLES] = np.inf
     least[0] = 0.0
     for i in range(1, 32):  # larger texts lie closer: a class without samples takes the floor of the next smaller one
         least[i] = least[i] if np.isfinite(least[i]) else least[i - 1]
