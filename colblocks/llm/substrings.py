@@ -122,6 +122,20 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - HASH_BITS)
 
 
+def window_keys(data: np.ndarray, piece: int = 1 << 15) -> np.ndarray:
+    """The least hash of the grams of each window, piece by piece so that the passes over a piece stay in the cache."""
+    n, w = len(data) - WINDOW + 1, WINDOW - GRAM + 1
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, piece):
+        h = gram_hashes(data[a : min(a + piece, n) + WINDOW - 1])
+        j = 1
+        while j * 2 <= w:
+            h = np.minimum(h[:-j], h[j:])
+            j *= 2
+        out[a : a + piece] = np.minimum(h[: len(h) - (w - j)], h[w - j :])
+    return out
+
+
 class Part:
     """The documents of a range of doc_ids as one buffer, in the order of doc_id."""
 
@@ -142,20 +156,19 @@ class Part:
 
         The key of a window is the least hash of its grams, so equal windows have equal keys.
         """
-        h = gram_hashes(self.data)
-        j, w = 1, WINDOW - GRAM + 1
-        while j * 2 <= w:
-            h = np.minimum(h[:-j], h[j:])
-            j *= 2
-        h = np.minimum(h[: len(h) - (w - j)], h[w - j :])
+        key = window_keys(self.data)
         count = np.maximum(self.size - WINDOW + 1, 0)
-        where = ranges(self.at, count)
-        doc = np.repeat(np.arange(len(count)), count)
-        key = h[where]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        new = np.empty(len(key), bool)
+        new[:1] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        new[self.at] = True
+        new[self.at + count] = True  # from here to the next document no window fits
         first = np.flatnonzero(new)
-        return where[first], np.diff(np.append(first, len(key))), doc[first], key[first]
+        windows = np.diff(np.append(first, len(key)))
+        # Of documents that begin at one place all but the last are empty.
+        doc = np.searchsorted(self.at, first, "right") - 1
+        fits = first < (self.at + count)[doc] if len(self.at) else np.zeros(len(first), bool)
+        return first[fits], windows[fits], doc[fits], key[first[fits]]
 
     def segments(self, shared: np.ndarray, bits: int):
         """Distinct strings of the runs with shared keys: per run its segment; per segment start, windows, bucket, least rank.
