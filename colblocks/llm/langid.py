@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ DIMS = 4096
 PIECE = 1 << 20
 #: Samples of a size class that it takes to reject by its least cosine.
 FLOOR_SAMPLES = 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.zeros(256, bool)
 _KEEP[0x61:0x7B] = _KEEP[0x80:] = True
 
