@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,18 @@ def decimal_applicability(df: DataFrame, largest: int = 15, by: tuple[str, ...]
 
 def applicability_summary(per_block: DataFrame) -> DataFrame:
     return per_block.agg(F.round(100.0 * F.sum("convertible") / F.sum("n"), 6).alias("pct"), F.count_if(F.col("n") == F.col("convertible")).alias("positive_blocks"))
+
+
+def _symbol_sizes(table: pa.Table) -> pa.Table:
+    from .codec import compress_symbols, train_symbols
+
+    data = b"".join(table.column("v").cast(pa.binary()).to_pylist())
+    size = len(compress_symbols(data, train_symbols(data[: 1 << 14])))
+    return pa.table({"block_id": table.column("block_id")[:1], "raw": pa.array([len(data)], pa.int64()), "compressed": pa.array([size], pa.int64())})
+
+
+def symbol_table_ratio(df: DataFrame) -> DataFrame:
+    """(block_id, raw, compressed, ratio): what a symbol table makes of the distinct present strings of each block."""
+    distinct = df.where(F.col("v").isNotNull()).select("block_id", "v").distinct()
+    out = distinct.groupBy("block_id").applyInArrow(_symbol_sizes, "block_id long, raw long, compressed long")
+    return out.withColumn("ratio", F.round(F.col("raw") / F.col("compressed"), 6))
