@@ -31,6 +31,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/colblocks-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)  # lazy results read these tables as long as the session lives
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -68,6 +72,8 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, tota
     light = right.where(~heavy_row).select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(on)], F.struct(*payload).alias("_light"))
     j = left.join(F.broadcast(heavy), on, "left")
     free = F.col("_heavy").isNull()
+    for k in on:  # rows without a key match nothing, so they are dealt out freely too
+        free = free & F.col(k).isNotNull()
     j = j.withColumn("_k", F.when(free, F.xxhash64(*on)).otherwise(F.xxhash64(F.lit(7), *spread)))
     light = light.withColumn("_rk", F.xxhash64(*[f"_r{i}" for i in range(len(on))]))
     cond = [F.col("_k") == F.col("_rk"), *[F.when(free, F.col(k)) == F.col(f"_r{i}") for i, k in enumerate(on)]]

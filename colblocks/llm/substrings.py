@@ -339,7 +339,7 @@ def _remove(bits: int, keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = 2 << 20, bucket_bytes: int = 1 << 20, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bytes: int = 2 << 20, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs(doc_id, text)``.
 
     Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id. Texts are their UTF-8
@@ -357,14 +357,20 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 2 << 20, bucket_bytes: int
     bucket once a part; no group is collected, and parts and buckets are bounded by their size parameters.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).head()
+    total, n, low, high = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).head()
     count = max(1, math.ceil(total / part_bytes))
     bits = max(1, math.ceil(total / bucket_bytes).bit_length())
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20 * count)).head()[0] if count > 1 and n else []
-    splits = [-math.inf, *sorted({float(c) for c in cuts or []}), math.inf]
-    spread = docs.withColumn("_d", F.coalesce("doc_id", F.lit(-(1 << 63))).cast("double"))
-    spread = Bucketizer(splits=splits, inputCol="_d", outputCol="_p").transform(spread) if len(splits) > 2 else spread.withColumn("_p", F.lit(0))
-    parts = spread.select(F.col("_p").cast("int").alias("part"), "doc_id", "text")
+    tops = min(count, max_cuts)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / tops for i in range(1, tops)], 20 * tops)).head()[0] if tops > 1 and n else []
+    inner = sorted({float(c) for c in cuts or []} - {float(low or 0)})
+    d = docs.withColumn("_d", F.coalesce("doc_id", F.lit(low or 0)).cast("double"))
+    d = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_d", outputCol="_p").transform(d) if inner else d.withColumn("_p", F.lit(0.0))
+    part, fine = F.col("_p").cast("int"), math.ceil(count / tops)
+    if fine > 1:  # beyond the cuts, a range is divided evenly by doc_id
+        edges = [float(low or 0), *inner, float(high or 0) + 1]
+        at = lambda i: F.get(F.array(*map(F.lit, edges)), i)
+        part = part * fine + F.least(F.lit(fine - 1), F.floor((F.col("_d") - at(part)) / (at(part + 1) - at(part)) * fine)).cast("int")
+    parts = d.select(part.alias("part"), "doc_id", "text")
     by_part = parts.groupBy("part")
     shared = by_part.applyInArrow(_offer(bits), LETTER).groupBy("bucket").applyInArrow(_share, LETTER)
     asked = by_part.cogroup(shared.groupBy("part")).applyInArrow(_ask(bits), LETTER)

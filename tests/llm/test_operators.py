@@ -277,11 +277,11 @@ def test_langid(spark, edge, docs):
     assert far["_rejected"]
 
 
-@pytest.mark.parametrize("part_bytes", [300, 1 << 20])
-def test_repeats(spark, edge, part_bytes):
+@pytest.mark.parametrize("part_bytes, cuts", [(300, 4096), (300, 3), (1 << 20, 4096)])
+def test_repeats(spark, edge, part_bytes, cuts):
     rows = [(d, None if t is None else t[:3000]) for d, t, *_ in EDGE]
     df = edge.withColumn("text", F.substring("text", 1, 3000))
-    got = [tuple(r) for r in substrings.remove_repeats(df, part_bytes, 200, keep_bytes=False).drop("kept").collect()]
+    got = [tuple(r) for r in substrings.remove_repeats(df, part_bytes, 200, cuts, keep_bytes=False).drop("kept").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, plain_repeats(rows)))
 
 
