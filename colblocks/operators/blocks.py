@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 
 #: Rows that one task puts in order; a larger table is cut into ranges of the order first.
-ROWS_PER_RANGE = 250_000
+ROWS_PER_RANGE = 100_000
 _PER_RANGE = 40
 
 
