@@ -339,7 +339,7 @@ def _remove(bits: int, keep_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = 2 << 20, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 19, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs(doc_id, text)``.
 
     Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id. Texts are their UTF-8
