@@ -1,8 +1,9 @@
-"""Embedding near-dedup: a robust-pruned flat graph over overlapping shards, searched by ranges from medoids."""
+"""Embedding near-dedup: k-means cells, each vector compared exactly with every cell that its range reaches, links counted by blocks."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,22 +17,15 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class GraphOptions:
-    """Bounds of the index. ``sample`` vectors fit the shards' centroids; everything else covers all vectors."""
+    """Bounds of the search. ``sample`` vectors or more fit the cells' centroids; everything else covers all vectors."""
 
     sample: int = 20_000
-    shard: int = 1500  # vectors a shard is meant to hold, before overlap
-    largest: int = 20_000  # a shard with more is cut, its cuts sharing ``hubs`` vectors
-    hubs: int = 64
-    overlap: int = 3
-    books: int = 256  # centroids of one level
-    near: int = 32
-    random: int = 16
-    degree: int = 16
-    alpha: float = 1.2
-    medoids: int = 16
-    beam: int = 32
-    slack: float = 0.05  # vectors this far under the threshold are still expanded
-    audit: int = 200
+    shard: int = 1500  # vectors a cell is meant to hold
+    largest: int = 20_000  # not used yet
+    hubs: int = 64  # accepted, but no longer used: cells share no hubs
+    books: int = 8192  # most cells; with more vectors the cells grow
+    spread: float = 3.0  # how far to the side, in standard deviations, the other end of a link is looked for
+    audit: int = 2000
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,7 +36,7 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 3, rounds: int = 10) ->
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(np.float32)
     for _ in range(rounds):
-        near = np.concatenate([(x[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        near = np.concatenate([(x[a : a + 1024] @ c.T).argmax(axis=1) for a in range(0, len(x), 1024)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -50,139 +44,32 @@ def spherical_kmeans(x: np.ndarray, k: int, seed: int = 3, rounds: int = 10) ->
     return c
 
 
-def near_candidates(x: np.ndarray, o: GraphOptions, seed: int) -> np.ndarray:
-    """For each vector the nearest of its shard and some at random; -1 where there are none."""
-    n = len(x)
-    k = min(o.near, n - 1)
-    near = np.full((n, k), -1)
-    for a in range(0, n, 512):
-        sims = x[a : a + 512] @ x.T
-        sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
-        near[a : a + 512] = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else near[a : a + 512]
-    far = np.random.default_rng(seed).integers(0, n, (n, o.random))
-    far = np.where((far == np.arange(n)[:, None]) | (far[:, :, None] == near[:, None, :]).any(axis=2), -1, far)
-    return np.concatenate([near, far], axis=1)
+def sure_reach(threshold: float) -> float:
+    """No link leads farther across the border of two cells: the sine of the angle that ``threshold`` allows."""
+    return math.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else 1.0
 
 
-def robust_prune(x: np.ndarray, cand: np.ndarray, o: GraphOptions) -> np.ndarray:
-    """Out-neighbours: the nearest candidate, then the nearest of those not ``alpha`` times closer to a chosen one."""
-    out = np.full((len(x), o.degree), -1)
-    for a in range(0, len(x), 256):
-        c = cand[a : a + 256]
-        v = x[c]
-        own = 2 - 2 * np.einsum("bcd,bd->bc", v, x[a : a + 256])
-        alive, rows = c >= 0, np.arange(len(c))
-        for r in range(o.degree):
-            pick = np.where(alive, own, np.inf).argmin(axis=1)
-            ok = alive[rows, pick]
-            if not ok.any():
-                break
-            out[a : a + 256, r] = np.where(ok, c[rows, pick], -1)
-            d = 2 - 2 * np.einsum("bcd,bd->bc", v, v[rows, pick])
-            alive &= ~(ok[:, None] & (o.alpha**2 * d <= own))
-            alive[rows, pick] = False
-    return out
-
-
-def build_graph(x: np.ndarray, o: GraphOptions, seed: int = 0) -> np.ndarray:
-    """Adjacency (local numbers, -1 for none): pruned edges, as many backwards, and a few random ones that keep it in one piece."""
-    if len(x) < 2:
-        return np.full((len(x), 1), -1)
-    cand = near_candidates(x, o, seed)
-    out = robust_prune(x, cand, o)
-    src, slot = np.nonzero(out >= 0)
-    dst = out[src, slot]
-    order = np.lexsort((slot, dst))
-    src, dst = src[order], dst[order]
-    first = np.searchsorted(dst, np.arange(len(x)))
-    place = np.arange(len(dst)) - first[dst]
-    back = np.full_like(out, -1)
-    ok = place < o.degree
-    back[dst[ok], place[ok]] = src[ok]
-    return np.concatenate([out, back, cand[:, -o.random // 2 :]], axis=1)
-
-
-def medoids(x: np.ndarray, k: int) -> np.ndarray:
-    c = spherical_kmeans(x, k, rounds=4)
-    return np.unique((x @ c.T).argmax(axis=0))
-
-
-def range_search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, threshold: float, o: GraphOptions) -> tuple[np.ndarray, np.ndarray]:
-    """(query, found) pairs of local numbers with cosine at ``threshold`` or nearly so.
-
-    A beam moves greedily from the medoids towards the query; from what it saw, all vectors in range (less ``slack``) are
-    expanded until none is new, so the answer grows to whatever the range holds.
+def likely_reach(threshold: float, length: int, o: GraphOptions) -> float:
+    """As far as links go whose ends differ by a random direction, up to ``spread`` standard deviations of its part across the border."""
+    sure = sure_reach(threshold)
+    return min(sure, o.spread * sure / threshold / math.sqrt(length)) if threshold > 0 else sure
+
+
+def linked_blocks(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(i, j, from, to): all pairs of rows of ``x`` and ``y`` (unit, double) with cosine at ``threshold`` or more, by ranges of ``x``, in order.
+
+    Single precision decides only what lies farther from the threshold than its error can be; the rest is computed in double.
     """
-    start = medoids(x, o.medoids)
-    inner, got_q, got_x = threshold - o.slack, [], []
-    for a in range(0, len(queries), 256):
-        q = queries[a : a + 256]
-        n, rows = len(q), np.arange(len(q))
-        seen = np.zeros((n, len(x)), bool)
-        seen[:, start] = True
-        ids = np.broadcast_to(start, (n, len(start))).copy()
-        sims = x[q] @ x[start].T
-        done = np.zeros_like(ids, bool)
-        near_q, near_x, near_s = [], [], []
-
-        def note(qi, xi, s):
-            ok = s >= inner
-            near_q.append(qi[ok])
-            near_x.append(xi[ok])
-            near_s.append(s[ok])
-
-        note(np.repeat(rows, len(start)), ids.ravel(), sims.ravel())
-        expanded = np.zeros((n, len(x)), bool)
-        while True:
-            open_ = np.where(done, -np.inf, sims)
-            pick = open_.argmax(axis=1)
-            live = np.flatnonzero(open_[rows, pick] > -np.inf)
-            if not len(live):
-                break
-            done[live, pick[live]] = True
-            node = ids[live, pick[live]]
-            expanded[live, node] = True
-            nb = adj[node]
-            fresh = (nb >= 0) & ~seen[live[:, None], nb]
-            li, ri = np.nonzero(fresh)
-            qi, xi = live[li], nb[li, ri]
-            code = np.unique(qi * len(x) + xi)
-            qi, xi = code // len(x), code % len(x)
-            seen[qi, xi] = True
-            s = np.einsum("pd,pd->p", x[xi], x[q[qi]])
-            note(qi, xi, s)
-            width = np.bincount(qi, minlength=n).max() if len(qi) else 0
-            if width:
-                new_i, new_s = np.zeros((n, width), int), np.full((n, width), -np.inf)
-                place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-                new_i[qi, place], new_s[qi, place] = xi, s
-                all_i, all_s = np.concatenate([ids, new_i], axis=1), np.concatenate([sims, new_s], axis=1)
-                all_d = np.concatenate([done, new_s == -np.inf], axis=1)
-                top = np.argpartition(-all_s, min(o.beam, all_s.shape[1]) - 1, axis=1)[:, : o.beam]
-                ids, sims, done = (np.take_along_axis(t, top, axis=1) for t in (all_i, all_s, all_d))
-        qi, xi = np.concatenate(near_q), np.concatenate(near_x)
-        front = ~expanded[qi, xi]
-        fq, fx = qi[front], xi[front]
-        while len(fq):
-            next_q, next_x = [], []
-            for b in range(0, len(fq), 4096):
-                bq, bx = fq[b : b + 4096], fx[b : b + 4096]
-                expanded[bq, bx] = True
-                nb = adj[bx]
-                li, ri = np.nonzero((nb >= 0) & ~seen[bq[:, None], nb])
-                code = np.unique(bq[li] * len(x) + nb[li, ri])
-                pq, px = code // len(x), code % len(x)
-                seen[pq, px] = True
-                s = np.einsum("pd,pd->p", x[px], x[q[pq]])
-                note(pq, px, s)
-                next_q.append(pq[s >= inner])
-                next_x.append(px[s >= inner])
-            fq, fx = np.concatenate(next_q), np.concatenate(next_x)
-        qi, xi, s = np.concatenate(near_q), np.concatenate(near_x), np.concatenate(near_s)
-        ok = s >= threshold - 1e-4
-        got_q.append(q[qi[ok]])
-        got_x.append(xi[ok])
-    return np.concatenate(got_q or [queries]), np.concatenate(got_x or [queries])
+    error = 1.2e-7 * (x.shape[1] + 4)
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    for a in range(0, len(x), 256):
+        s = x32[a : a + 256] @ y32.T
+        i, j = np.nonzero(s >= threshold - error)
+        close = np.flatnonzero(s[i, j] <= threshold + error)
+        wrong = [c[np.einsum("pd,pd->p", x[a + i[c]], y[j[c]]) < threshold] for c in (close[b : b + 65536] for b in range(0, len(close), 65536))]
+        keep = np.ones(len(i), bool)
+        keep[np.concatenate(wrong or [close])] = False
+        yield a + i[keep], j[keep], a, min(a + 256, len(x))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -191,94 +78,112 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _builder(o: GraphOptions):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids = table.column("id").to_numpy()
-        adj = build_graph(unit(_matrix(table.column("embedding"))).astype(np.float32), o)
-        rows = [ids[r[r >= 0]] for r in adj]
-        return pa.table({"id": pa.array(ids), "near": pa.array(rows, pa.list_(pa.int64()))})
+def fit_book(vectors: DataFrame, n: int, o: GraphOptions) -> np.ndarray:
+    """Centroids of the cells, so many that a cell holds about ``shard`` vectors."""
+    k = max(1, min(o.books, math.ceil(n / o.shard)))
+    sample = max(o.sample, 8 * k)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "id"), 11) / float(1 << 53)
+    rows = vectors.where(u <= min(1.0, sample / max(n, 1))).select("id", "embedding").limit(2 * sample).toArrow().sort_by("id")
+    if not len(rows):  # a sample of a few vectors may come out empty
+        rows = vectors.select("id", "embedding").limit(k).toArrow()
+    return spherical_kmeans(unit(_matrix(rows.column("embedding"))).astype(np.float32), k)
+
+
+def reached_cells(x: np.ndarray, book: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, and whether it lies within ``reach`` of the border of its home and each cell."""
+    sims = x @ book.T
+    home = sims.argmax(axis=1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (book[home] @ book.T)))
+    near = sims.max(axis=1, keepdims=True) - sims <= reach * apart + 1e-5
+    near[np.arange(len(x)), home] = True
+    return home, near
+
+
+def _assigner(book: np.ndarray, reach: float):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                home, near = reached_cells(unit(_matrix(pa.chunked_array([part.column("embedding")]))).astype(np.float32), book, reach)
+                ends = np.concatenate([[0], near.sum(axis=1).cumsum()]).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), cells], names=["id", "n", "embedding", "home", "cells"])
 
     return run
 
 
-def _searcher(threshold: float, o: GraphOptions):
+def _counter(threshold: float):
+    """Counts the links of a cell's members among themselves and with the vectors of other cells that reach it.
+
+    Each pair counts once for either end: a member counts a foreign vector only if it doesn't reach that one's home, where it would count it.
+    A row names, beside the counts, one vector that its own is connected to, so that all that are linked here are connected.
+    """
+
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        ids, exact = table.column("id").to_numpy(), unit(_matrix(table.column("embedding")))
-        lists = table.column("near").to_pylist()
-        size = np.fromiter(map(len, lists), int, len(lists))
-        flat = np.fromiter((i for r in lists for i in r), np.int64, int(size.sum()))
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        at[ids[at] != flat] = -1  # a neighbour in another shard only
-        adj = np.full((len(ids), max(1, size.max(initial=0))), -1)
-        adj[np.repeat(np.arange(len(ids)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = at
-        q, x = range_search(exact.astype(np.float32), adj, np.arange(len(ids)), threshold, o)
-        code = np.unique(np.minimum(q, x)[q != x] * len(ids) + np.maximum(q, x)[q != x])
-        q, x = code // len(ids), code % len(ids)
-        ok = np.concatenate([np.einsum("pd,pd->p", exact[q[a : a + 65536]], exact[x[a : a + 65536]]) >= threshold for a in range(0, len(q), 65536)] or [np.zeros(0, bool)])
-        return pa.table({"a": pa.array(ids[q[ok]]), "b": pa.array(ids[x[ok]])})
+        table = table.sort_by([("home", "ascending"), ("id", "ascending")])
+        ids, n, home = (table.column(c).to_numpy() for c in ("id", "n", "home"))
+        x, cell = unit(_matrix(table.column("embedding"))), table.column("cell")[0].as_py()
+        own = home == cell
+        mine, other = np.flatnonzero(own), np.flatnonzero(~own)
+        lists = table.column("cells").take(pa.array(mine)).combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        reaches, reacher = lists.flatten().to_numpy(), np.repeat(np.arange(len(mine)), size)
+        others, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        root, label = np.full(len(ids), -1), np.arange(len(mine))
+
+        def add(at: np.ndarray, weight: np.ndarray):
+            others[:] += np.bincount(at, weight, minlength=len(ids)).astype(np.int64)
+            found[:] += np.bincount(at, minlength=len(ids))
+
+        def connect(i: np.ndarray, j: np.ndarray):
+            nonlocal label
+            start = np.flatnonzero(np.diff(i, prepend=-1))
+            root[i[start]] = mine[j[start]]
+            for hits in np.split(j, start[1:]) if len(start) else []:
+                roots = np.unique(label[hits])
+                if len(roots) > 1:
+                    to = np.arange(len(mine))
+                    to[roots] = roots[0]
+                    label = to[label]
+
+        m = x[mine]
+        for i, j, _, _ in linked_blocks(m, m, threshold):
+            connect(mine[i], j)
+            i, j = i[i != j], j[i != j]
+            add(mine[i], n[mine[j]])
+        for i, j, a, b in linked_blocks(x[other], m, threshold) if len(mine) else ():
+            i = other[i]
+            connect(i, j)
+            add(i, n[mine[j]])
+            homes = np.unique(home[other[a:b]])
+            mutual = np.zeros((len(mine), len(homes)), bool)
+            at = np.minimum(np.searchsorted(homes, reaches), len(homes) - 1)
+            same = homes[at] == reaches
+            mutual[reacher[same], at[same]] = True
+            alone = ~mutual[j, np.searchsorted(homes, home[i])]
+            add(mine[j[alone]], n[i[alone]])
+        root[mine] = mine[label]
+        some = (found > 0) | (root >= 0) & (root != np.arange(len(ids)))
+        return pa.table({"id": ids[some], "others": others[some], "found": found[some], "root": ids[root[some]]})
 
     return run
 
 
-def _assigner(books: list[np.ndarray], overlap: int):
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = unit(_matrix(pa.chunked_array([batch.column("embedding")]))).astype(np.float32)
-            take = min(overlap, len(books[0]))
-            sims = x @ books[0].T
-            cells = np.argpartition(-sims, take - 1, axis=1)[:, :take].astype(np.int64)
-            rest = x[:, None, :] - books[0][cells]
-            for book in books[1:]:
-                code = (rest @ book.T - 0.5 * (book**2).sum(axis=1)).argmax(axis=2)
-                cells, rest = cells * len(book) + code, rest - book[code]
-            rows = np.repeat(np.arange(len(x)), take)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), batch.column("id").take(pa.array(rows)), batch.column("embedding").take(pa.array(rows))], names=["cell", "id", "embedding"])
+def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: float, scratch: Scratch, o: GraphOptions) -> DataFrame:
+    """(id, others, found, root): links of distinct vectors ``classes(id, n, embedding)`` of one length, several rows to a vector.
 
-    return run
+    The sums of ``others`` (weighted by n) and ``found`` are a vector's links; the edges from id to root connect what is linked. No pair is
+    listed, so a group of any size costs rows for its members and the cells they reach.
+    """
+    placed = classes.select("id", "n", "embedding").mapInArrow(_assigner(book, reach), "id long, n long, embedding array<float>, home int, cells array<int>")
+    placed = scratch.stage(placed, "cells")
+    rows = placed.select("id", "n", "embedding", "home", "cells", F.explode("cells").alias("cell"))
+    rows = rows.withColumn("cells", F.when(F.col("home") == F.col("cell"), F.col("cells")))
+    return scratch.stage(rows.groupBy("cell").applyInArrow(_counter(threshold), "id long, others long, found long, root long"), "found")
 
 
-def fit_books(vectors: DataFrame, n: int, o: GraphOptions) -> list[np.ndarray]:
-    """Codebooks of the shards: enough levels of at most ``books`` centroids that a cell holds about ``shard`` vectors."""
-    want = max(1, math.ceil(n / o.shard))
-    rate = min(1.0, o.sample / max(n, 1))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "id"), 11) / float(1 << 53)
-    rows = vectors.where(u <= rate).select("id", "embedding").limit(2 * o.sample).toArrow().sort_by("id")
-    x = unit(_matrix(rows.column("embedding"))).astype(np.float32) if len(rows) else np.zeros((0, 1), np.float32)
-    books = []
-    while want > 1 or not books:
-        k = min(o.books, want)
-        book = spherical_kmeans(x, k) if not books else x[np.random.default_rng(len(books)).choice(len(x), min(k, len(x)), replace=False)]
-        near = (x @ book.T - 0.5 * (book**2).sum(axis=1)).argmax(axis=1)
-        x = x - book[near]
-        books.append(book)
-        want = math.ceil(want / k)
-    return books
-
-
-def find_links(classes: DataFrame, n: int, threshold: float, scratch: Scratch, o: GraphOptions) -> DataFrame:
-    """(a, b), a < b: links between distinct vectors ``classes(id, embedding)`` of one length, each verified in double precision."""
-    books = fit_books(classes, n, o)
-    cells = classes.select("id", "embedding").mapInArrow(_assigner(books, o.overlap), "cell long, id long, embedding array<float>")
-    cells = scratch.stage(cells, "cells")
-    # Cells beyond the largest size are cut by hash; their hubs stand in every cut and join the cuts' components.
-    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > o.largest)
-    large = large.select("cell", F.ceil(F.col("size") / o.largest).cast("int").alias("cuts"), (F.lit(float(o.hubs)) / F.col("size")).alias("rate"))
-    cells = cells.join(large, "cell", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(13), "id"), 11) / float(1 << 53)
-    cut = F.when(F.col("cuts") == 1, F.array(F.lit(0))).when(u < F.col("rate"), F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")))
-    shards = scratch.stage(cells.select("cell", F.explode(cut).alias("cut"), "id", "embedding"), "shards")
-    graph = shards.groupBy("cell", "cut").applyInArrow(_builder(o), "id long, near array<long>")
-    graph = scratch.stage(graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    found = shards.join(graph, "id").groupBy("cell", "cut").applyInArrow(_searcher(threshold, o), "a long, b long")
-    return scratch.stage(found.distinct(), "links")
-
-
-def audit_recall(classes: DataFrame, links: DataFrame, n: int, threshold: float, o: GraphOptions) -> float:
-    """Share of the true links of about ``audit`` hash-sampled vectors, found by brute force over all, that ``links`` holds."""
+def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, o: GraphOptions) -> float:
+    """Share of the true links of about ``audit`` hash-sampled vectors, counted by brute force over all, that ``found`` counts."""
     u = F.shiftrightunsigned(F.xxhash64(F.lit(29), "id"), 11) / float(1 << 53)
     probe = classes.where(u <= min(1.0, o.audit / max(n, 1))).select("id", "embedding").limit(2 * o.audit).toArrow()
     if not len(probe):
@@ -288,14 +193,15 @@ def audit_recall(classes: DataFrame, links: DataFrame, n: int, threshold: float,
     def run(batches):
         for batch in batches:
             if len(batch):
-                x = unit(_matrix(pa.chunked_array([batch.column("embedding")])))
-                i, j = np.nonzero(p @ x.T >= threshold)
-                a, b = ids[i], batch.column("id").to_numpy()[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b])], names=["a", "b"])
+                own, true = batch.column("id").to_numpy(), np.zeros(len(ids), np.int64)
+                for i, j, _, _ in linked_blocks(unit(_matrix(pa.chunked_array([batch.column("embedding")]))), p, threshold):
+                    true += np.bincount(j[own[i] != ids[j]], minlength=len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[true > 0]), pa.array(true[true > 0])], names=["id", "true"])
 
-    true = classes.select("id", "embedding").mapInArrow(run, "a long, b long").distinct()
-    total, got = true.join(links.withColumn("_got", F.lit(1)), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("_got")).head()
-    return got / total if total else 1.0
+    true = classes.select("id", "embedding").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+    got = true.join(found.groupBy("id").agg(F.sum("found").alias("found")), "id", "left")
+    total, good = got.agg(F.sum("true"), F.sum(F.coalesce("found", F.lit(0)))).head()
+    return good / total if total else 1.0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOptions | None = None) -> DataFrame:
@@ -316,17 +222,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     keyed = keyed.withColumns({"k1": F.when(F.col("fine"), F.xxhash64("embedding")), "k2": F.when(F.col("fine"), F.xxhash64(F.lit(1), "embedding"))})
     classes = keyed.where("fine").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.any_value("embedding").alias("embedding"))
     classes = scratch.stage(classes.withColumn("id", F.coalesce(F.col("first"), F.col("k1"))), "classes")
-    links, recalls = None, []
+    found, recalls = None, []
     for length, n in sorted(tuple(r) for r in classes.groupBy(F.size("embedding")).count().collect()):
         own = classes.where(F.size("embedding") == length)
-        part = find_links(own, n, threshold, scratch, o)
+        part = count_links(own, fit_book(own, n, o), threshold, likely_reach(threshold, length, o), scratch, o)
         recalls.append(audit_recall(own, part, n, threshold, o))
-        links = part if links is None else links.unionByName(part)
-    if links is None:
-        links = spark.createDataFrame([], "a long, b long")
-    weight = classes.select("id", "n")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(weight.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], "id long, others long, found long, root long")
+    degree = found.groupBy("id").agg(F.sum("others").alias("others"))
+    links = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
     roots = connected_components(links, scratch).withColumnRenamed("node", "id")
     named = classes.select("id", "k1", "k2", "n", "first").join(degree, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = scratch.stage(named, "named")

@@ -219,6 +219,31 @@ def test_vectors(spark):
         assert got[905]["n_links"] == 1 and got[906]["component_id"] == 905 and got[150]["component_id"] == 0
 
 
+def true_links(rows, threshold=0.95):
+    u = np.array([v for _, v in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return u @ u.T >= threshold
+
+
+def plain_groups(linked):
+    return plain_components(list(range(len(linked))), lambda a, b: linked[a, b])
+
+
+def test_vectors_dense_group(spark):
+    """A group over many cells: all of its links count, and no pair is listed."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 64))
+    x[:400] = x[0]
+    x[:400, :4] += rng.normal(size=(400, 4)) * 0.5
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95, vectors.GraphOptions(shard=30)).collect()}
+    linked = true_links(rows)
+    want = linked.sum(axis=1) - 1
+    mine = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert want.sum() > 50_000 and (mine <= want).all() and mine.sum() >= 0.99 * want.sum()
+    assert {i: got[i]["component_id"] for i in got} == plain_groups(linked)
+
+
 def test_licenses(spark, edge, docs):
     scanner = licenses.Scanner()
     for t in [r[1] for r in docs] + [r[1] for r in EDGE]:
