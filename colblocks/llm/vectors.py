@@ -21,7 +21,7 @@ class GraphOptions:
 
     sample: int = 20_000
     shard: int = 1500  # vectors a cell is meant to hold
-    largest: int = 20_000  # not used yet
+    largest: int = 20_000  # members, or vectors from elsewhere, in a task; larger cells are cut and their cuts compared pairwise
     hubs: int = 64  # accepted, but no longer used: cells share no hubs
     books: int = 8192  # most cells; with more vectors the cells grow
     spread: float = 3.0  # how far to the side, in standard deviations, the other end of a link is looked for
@@ -113,7 +113,7 @@ def _assigner(book: np.ndarray, reach: float):
 
 
 def _counter(threshold: float):
-    """Counts the links of a cell's members among themselves and with the vectors of other cells that reach it.
+    """Counts the links of a cut of a cell's members among themselves, with another cut, and with vectors of other cells that reach it.
 
     Each pair counts once for either end: a member counts a foreign vector only if it doesn't reach that one's home, where it would count it.
     A row names, beside the counts, one vector that its own is connected to, so that all that are linked here are connected.
@@ -123,8 +123,9 @@ def _counter(threshold: float):
         table = table.sort_by([("home", "ascending"), ("id", "ascending")])
         ids, n, home = (table.column(c).to_numpy() for c in ("id", "n", "home"))
         x, cell = unit(_matrix(table.column("embedding"))), table.column("cell")[0].as_py()
-        own = home == cell
+        own = (home == cell) & (table.column("cut").to_numpy() == table.column("i")[0].as_py())
         mine, other = np.flatnonzero(own), np.flatnonzero(~own)
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
         lists = table.column("cells").take(pa.array(mine)).combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
         reaches, reacher = lists.flatten().to_numpy(), np.repeat(np.arange(len(mine)), size)
@@ -147,7 +148,7 @@ def _counter(threshold: float):
                     label = to[label]
 
         m = x[mine]
-        for i, j, _, _ in linked_blocks(m, m, threshold):
+        for i, j, _, _ in linked_blocks(m, m, threshold) if within else ():
             connect(mine[i], j)
             i, j = i[i != j], j[i != j]
             add(mine[i], n[mine[j]])
@@ -160,7 +161,7 @@ def _counter(threshold: float):
             at = np.minimum(np.searchsorted(homes, reaches), len(homes) - 1)
             same = homes[at] == reaches
             mutual[reacher[same], at[same]] = True
-            alone = ~mutual[j, np.searchsorted(homes, home[i])]
+            alone = (home[i] == cell) | ~mutual[j, np.searchsorted(homes, home[i])]
             add(mine[j[alone]], n[i[alone]])
         root[mine] = mine[label]
         some = (found > 0) | (root >= 0) & (root != np.arange(len(ids)))
@@ -178,8 +179,19 @@ def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: f
     placed = classes.select("id", "n", "embedding").mapInArrow(_assigner(book, reach), "id long, n long, embedding array<float>, home int, cells array<int>")
     placed = scratch.stage(placed, "cells")
     rows = placed.select("id", "n", "embedding", "home", "cells", F.explode("cells").alias("cell"))
-    rows = rows.withColumn("cells", F.when(F.col("home") == F.col("cell"), F.col("cells")))
-    return scratch.stage(rows.groupBy("cell").applyInArrow(_counter(threshold), "id long, others long, found long, root long"), "found")
+    member = F.col("home") == F.col("cell")
+    sizes = rows.groupBy("cell").agg(F.count(F.when(member, 1)).alias("m"), F.count(F.when(~member, 1)).alias("f"))
+    cuts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / o.largest)).cast("int").alias(c + "_cuts")
+    sizes = scratch.stage(sizes.select("cell", cuts("m"), cuts("f")), "sizes")  # a row per cell, ``books`` at most
+    # Task (i, j): cut i of the members with cut j, or with part -j of the others; part 0 goes along with (i, i).
+    rows = rows.join(F.broadcast(sizes), "cell").withColumn("cut", F.pmod(F.xxhash64(F.lit(13), "id"), F.when(member, F.col("m_cuts")).otherwise(F.col("f_cuts"))).cast("int"))
+    cut, every = F.col("cut"), F.sequence(F.lit(0), F.col("m_cuts") - 1)
+    parts = F.filter(F.sequence(F.lit(0), F.col("f_cuts") - 1), lambda k: k > 0)
+    task = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    inside = F.concat(F.transform(every, lambda k: task(F.least(cut, k), F.greatest(cut, k))), F.transform(parts, lambda k: task(cut, -k)))
+    outside = F.transform(every, lambda k: task(k, F.when(cut == 0, k).otherwise(-cut)))
+    rows = rows.select("cell", "cut", "id", "n", "embedding", "home", F.when(member, F.col("cells")).alias("cells"), F.explode(F.when(member, inside).otherwise(outside)).alias("task"))
+    return scratch.stage(rows.select("*", "task.i", "task.j").drop("task").groupBy("cell", "i", "j").applyInArrow(_counter(threshold), "id long, others long, found long, root long"), "found")
 
 
 def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, o: GraphOptions) -> float:

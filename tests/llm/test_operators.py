@@ -244,6 +244,21 @@ def test_vectors_dense_group(spark):
     assert {i: got[i]["component_id"] for i in got} == plain_groups(linked)
 
 
+@pytest.mark.parametrize("books", [1, 3])
+def test_vectors_crowded_cell(spark, books):
+    """Pairs and small groups in crowded cells: cuts lose none of them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x[300:600] = x[:300] + rng.normal(size=(300, 32)) * 0.1
+    x[600:650] = x[:50] + rng.normal(size=(50, 32)) * 0.1
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    options = vectors.GraphOptions(shard=900 // books, books=books, largest=70, hubs=8)
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95, options).collect()}
+    linked = true_links(rows)
+    assert linked.sum() > len(x) + 600 and [got[i]["n_links"] for i in range(len(x))] == (linked.sum(axis=1) - 1).tolist()
+    assert {i: got[i]["component_id"] for i in got} == plain_groups(linked)
+
+
 def test_licenses(spark, edge, docs):
     scanner = licenses.Scanner()
     for t in [r[1] for r in docs] + [r[1] for r in EDGE]:
