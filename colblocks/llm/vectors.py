@@ -26,6 +26,7 @@ class GraphOptions:
     books: int = 8192  # most cells; with more vectors the cells grow
     spread: float = 3.0  # how far to the side, in standard deviations, the other end of a link is looked for
     audit: int = 2000
+    recall: float = 0.9  # least audited recall; under it all cells that any link can reach are visited
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -222,7 +223,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     Vectors link if their cosine in double precision is ``threshold`` or more. Null, empty or zero vectors and such with null or
     non-finite components link with nothing, nor do vectors of different lengths. Equal vectors are one node of
     the graph, weighted by their number, so copies cost nothing however many there are. A null vec_id is counted as a link
-    but never names a component that has another. ``recall`` is the audited share of true links between distinct vectors.
+    but never names a component that has another. ``recall`` is the audited share of true links between distinct vectors; it is the
+    options' ``recall`` at least, or else the search is done again as far as any link can reach, and raises if that doesn't help.
     """
     o = options or GraphOptions()
     spark = vectors.sparkSession
@@ -237,8 +239,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     found, recalls = None, []
     for length, n in sorted(tuple(r) for r in classes.groupBy(F.size("embedding")).count().collect()):
         own = classes.where(F.size("embedding") == length)
-        part = count_links(own, fit_book(own, n, o), threshold, likely_reach(threshold, length, o), scratch, o)
-        recalls.append(audit_recall(own, part, n, threshold, o))
+        book = fit_book(own, n, o)
+        for reach in sorted({likely_reach(threshold, length, o), sure_reach(threshold)}):
+            part = count_links(own, book, threshold, reach, scratch, o)
+            recalls.append(audit_recall(own, part, n, threshold, o))
+            if recalls[-1] >= o.recall:
+                break
+            scratch.drop(part)
+            recall = recalls.pop()
+        else:
+            raise RuntimeError(f"audited recall {recall} of vectors of length {length} is under {o.recall}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "id long, others long, found long, root long")

@@ -259,6 +259,28 @@ def test_vectors_crowded_cell(spark, books):
     assert {i: got[i]["component_id"] for i in got} == plain_groups(linked)
 
 
+@pytest.mark.parametrize("options", [{"shard": 4, "books": 3}, {"shard": 4}, {"shard": 10, "spread": 0.0}])
+def test_vectors_recall(spark, options):
+    """Links over the borders of many small cells; what the first reach misses the audit brings back."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(30, 8)), 40, axis=0) + rng.normal(size=(1200, 8)) * 0.25
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95, vectors.GraphOptions(**options)).collect()}
+    want = true_links(rows).sum(axis=1) - 1
+    mine = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (mine <= want).all() and mine.sum() >= 0.9 * want.sum() and got[0]["recall"] >= 0.9
+
+
+def test_vectors_reach():
+    """The sure reach covers every link, from either end."""
+    rng = np.random.default_rng(10)
+    for d in (2, 5, 12):
+        x = vectors.unit(rng.normal(size=(600, d)))
+        home, near = vectors.reached_cells(x.astype(np.float32), vectors.spherical_kmeans(x.astype(np.float32), 40), vectors.sure_reach(0.9))
+        i, j = np.nonzero(x @ x.T >= 0.9)
+        assert near[i, home[j]].all()
+
+
 def test_licenses(spark, edge, docs):
     scanner = licenses.Scanner()
     for t in [r[1] for r in docs] + [r[1] for r in EDGE]:
