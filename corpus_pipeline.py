@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, SentencePiece encoding.
+"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, shingle near-dedup, mixing to target weights, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes each stage's rows as Parquet
 to the shared scratch folder and reads them again for the next.
@@ -14,6 +14,7 @@ from colblocks.llm.langid import identify
 from colblocks.llm.line_dedup import dedup_lines
 from colblocks.llm.mixing import mix, repetitions
 from colblocks.llm.pieces import encode
+from colblocks.llm.shingles import similar_components
 from colblocks.llm.simhash import simhash_components
 
 
@@ -27,9 +28,9 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return dedup_lines(docs).withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once."""
-    named = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def first_of_each(spark: SparkSession, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Of each component of ``named(doc_id, th, component_id)`` the document with the smallest doc_id, once."""
+    named = named.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = named.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_n"))
     kept = Scratch(spark, "kept").stage(kept, "kept")
     again = not kept.where("_n > 1").isEmpty()
@@ -37,6 +38,16 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.dropDuplicates(["doc_id", "text"]) if again else out
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents whose fingerprints differ in 2 bits or fewer the first."""
+    return first_of_each(spark, docs, simhash_components(docs))
+
+
+def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents whose five-word shingles have a similarity of 0.8 or more the first."""
+    return first_of_each(spark, docs, similar_components(docs))
+
+
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's target takes them; n_chars follows the text."""
     return repetitions(mix(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -51,6 +62,7 @@ STAGES = [
     ("language_id", known_languages),
     ("line_dedup", unrepeated_lines),
     ("simhash", distinct_documents),
+    ("shingles", dissimilar_documents),
     ("mixing", mixed_sources),
     ("pieces", encoded),
 ]

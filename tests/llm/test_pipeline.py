@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version of its decisions on its own input."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,24 @@ def test_run(spark):
 def test_empty(spark, docs):
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies(spark, monkeypatch):
+    """Copies with a few changed words don't survive the stages of near-duplicates; documents below 0.8 do."""
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for i, w in enumerate(texts):
+        for step, changes in ((100, 1), (200, 2), (300, 6)):  # similarities of about 0.92, 0.84 and 0.59
+            copy = list(w)
+            for k in range(changes):
+                copy[10 + 18 * k] = f"new{i}"
+            rows.append((step + i, " ".join(copy)))
+    rows += [(400, None), (401, ""), (402, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = [n for n, _ in P.STAGES]
+    for name, stage in P.STAGES[names.index("simhash") : names.index("mixing")]:
+        if name == "shingles":
+            monkeypatch.setattr("colblocks.llm.shingles.LARGEST", 2)
+        df = stage(spark, df, SF)
+    assert sorted(r["doc_id"] for r in df.collect()) == [*range(40), *range(300, 340), 400, 402]
