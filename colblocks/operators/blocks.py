@@ -2,53 +2,71 @@
 
 from __future__ import annotations
 
-import math
+import bisect
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..scratch import Scratch
 
-#: Rows that one task puts in order; a larger table is cut into ranges of the order first.
-ROWS_PER_RANGE = 100_000
-_PER_RANGE = 40
+#: Bytes of a range of the order: small tables are cut for the sake of their tasks, large ones so that a range fits a task.
+SMALL_RANGE, LARGE_RANGE = 4 << 20, 128 << 20
+_LOCAL = (1 << 33) - 1
 
 
-def _range_number(order: list[str], bounds: list[tuple], low: int = 0) -> Column:
-    """The number of bounds at or below a row, by binary search."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    here = F.lit(False)
-    for name, value in reversed(list(zip(order, bounds[mid]))):
-        c, v = F.col(name), F.lit(value)
-        here = (c > v) | (c.eqNullSafe(v) & here) if value is not None else c.isNotNull() | (c.isNull() & here)
-    here = F.coalesce(here, F.lit(False))
-    return F.when(here, _range_number(order, bounds[mid + 1 :], low + mid + 1)).otherwise(_range_number(order, bounds[:mid], low))
+def range_count(df: DataFrame) -> int:
+    """Ranges to cut a table into, from the size that the optimizer gives its plan; as many as a shuffle has where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size >= 1 << 53:
+        return tasks
+    return max(1, min(tasks, size // SMALL_RANGE), size // LARGE_RANGE)
 
 
-def with_row_id(df: DataFrame, *order: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``row_id``: the place of a row in the order given, from 0; nulls first.
+class Numbered:
+    """A table staged in its order, with the number of rows before each of its ranges.
 
-    The order is cut at bounds taken from a sample of about 40 rows a range (all the driver sees); each range is numbered by a
-    task of its own and the counts of the ranges before, one row each, are added. One shuffle, whatever the size.
+    Spark's range partitioner cuts the order (one shuffle); each range is sorted and written by a task of its own with the places of
+    its rows. Only the counts of the ranges come to the driver. Whatever is computed from the rows later reads the written
+    table, so numbers never depend on a second run of the sampler, and a lost executor costs a task of a scan.
     """
-    n = df.count()
-    ranges = max(1, math.ceil(n / rows_per_range))
-    if ranges == 1:
-        return df.withColumn("row_id", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    keys = df.select(*order)
-    share = min(1.0, ranges * _PER_RANGE / n)
-    u = F.shiftrightunsigned(F.xxhash64(*order), 11) / float(1 << 53)
-    sample = keys.where(u <= share).orderBy(*order).limit(4 * ranges * _PER_RANGE).collect()
-    cuts = sorted({len(sample) * i // ranges for i in range(1, ranges)})
-    bounds = [tuple(sample[i]) for i in cuts if i < len(sample)]
-    ranged = df.withColumn("_range", _range_number(list(order), bounds))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = keys.groupBy(_range_number(list(order), bounds).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_place", place).join(F.broadcast(counts), "_range").withColumn("row_id", F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_before")
+
+    def __init__(self, df: DataFrame, *order: str, partitions: int | None = None):
+        n = partitions or range_count(df)
+        cut = df.repartitionByRange(n, *order) if n > 1 else df.coalesce(1)
+        rows = cut.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+        self.staged = Scratch(df.sparkSession, "rows").stage(rows, "ordered")
+        counts = self.staged.groupBy(F.shiftright("_place", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+        self.before, self.n = {}, 0
+        for r in counts:
+            self.before[r["p"]] = self.n
+            self.n += r["n"]
+
+    def rows(self) -> DataFrame:
+        """All rows with ``row_id``."""
+        local = F.col("_place").bitwiseAND(F.lit(_LOCAL))
+        if len(self.before) <= 1:
+            return self.staged.withColumn("row_id", local).drop("_place")
+        spark = self.staged.sparkSession
+        starts = F.broadcast(spark.createDataFrame(list(self.before.items()), "_p long, _before long"))
+        out = self.staged.join(starts, F.shiftright("_place", 33) == F.col("_p"))
+        return out.withColumn("row_id", F.col("_before") + local).drop("_place", "_p", "_before")
+
+    def lookup(self, *row_ids: int) -> DataFrame:
+        """The rows of the given numbers; their places are pushed into the scan, which skips all other row groups."""
+        starts, parts = list(self.before.values()), list(self.before)
+        wanted = [(i, at - 1) for i in row_ids if 0 <= i < self.n and (at := bisect.bisect_right(starts, i))]
+        places = [(parts[at] << 33) + i - starts[at] for i, at in wanted]
+        out, row_id = self.staged.where(F.col("_place").isin(*places)), F.lit(None).cast("long")
+        for (i, _), place in zip(wanted, places):
+            row_id = F.when(F.col("_place") == place, F.lit(i).cast("long")).otherwise(row_id)
+        return out.withColumn("row_id", row_id).drop("_place")
+
+
+def with_row_id(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+    """``row_id``: the place of a row in the order given, from 0; nulls first. The ordered table is written once (see Numbered)."""
+    return Numbered(df, *order, partitions=partitions).rows()
 
 
 def with_block(df: DataFrame, size: int) -> DataFrame:
@@ -111,11 +129,20 @@ def sampled(df: DataFrame, runs: int, length: int, offset: Column | None = None,
     return df.where(whole | F.col("pos").between(F.col("_start"), F.col("_start") + length - 1)).drop("_size", "_width", "_slice", "_last", "_start")
 
 
+def random_ranges(df: DataFrame, count: int = 3, length: int = 65_000, seed: int = 42, start: Column | None = None) -> DataFrame:
+    """``count`` stretches (``stretch``) of at most ``length`` rows from seeded random starts, by a range join on ``row_id``.
+
+    ``start`` maps (stretch, rows ``_n``) to a start; by default a hash. The starts are ``count`` rows, so they are broadcast.
+    """
+    spark = df.sparkSession
+    n = df.agg(F.coalesce(F.max("row_id") + 1, F.lit(0)).alias("_n"))
+    begin = F.pmod(F.xxhash64(F.lit(seed), "stretch"), F.greatest(F.col("_n"), F.lit(1))) if start is None else start
+    starts = spark.range(count).withColumnRenamed("id", "stretch").join(F.broadcast(n)).select("stretch", begin.alias("_start"))
+    return df.join(F.broadcast(starts), F.col("row_id").between(F.col("_start"), F.col("_start") + length - 1)).drop("_start")
+
+
 def random_range(df: DataFrame, length: int = 65_000, seed: int = 42) -> DataFrame:
-    """A stretch of at most ``length`` rows from a seeded random start, by a range predicate on ``row_id``."""
-    n = df.agg(F.max("row_id")).head()[0]
-    bounds = df.sparkSession.range(1).select(F.pmod(F.xxhash64(F.lit(seed)), F.lit((n or 0) + 1)).alias("_start"))
-    return df.join(F.broadcast(bounds), F.col("row_id").between(F.col("_start"), F.col("_start") + length - 1)).drop("_start")
+    return random_ranges(df, 1, length, seed).drop("stretch")
 
 
 def sample_blocks(df: DataFrame, config: Config) -> DataFrame:

@@ -19,6 +19,8 @@ _DOUBLE = {v: k for k, v in DOUBLE_SCHEMES.items()}
 _STRING = {v: k for k, v in STRING_SCHEMES.items()}
 #: Values that are packed together with one width.
 MINI = 128
+#: Schemes whose ratio is estimated by encoding a sample; all others follow from statistics.
+SAMPLED = frozenset({"RLE", "PFOR", "BP", "FREQUENCY", "PFOR_DELTA", "PSEUDODECIMAL", "DOUBLE_BP"})
 _DTYPE = {"int": np.dtype("<i4"), "long": np.dtype("<i8"), "double": np.dtype("<f8")}
 
 
@@ -207,16 +209,20 @@ def compress_symbols(data: bytes, table: list[bytes], raw: bool = False):
 
 
 def expand_symbols(data: bytes | memoryview, table: list[bytes]) -> bytes:
-    out, escaped = [], False
-    for b in bytes(data):
-        if escaped:
-            out.append(bytes([b]))
-            escaped = False
-        elif b == ESCAPE:
-            escaped = True
-        else:
-            out.append(table[b])
-    return b"".join(out)
+    codes = np.frombuffer(data, np.uint8)
+    marks = np.flatnonzero(codes == ESCAPE)
+    # In a row of equal bytes ESCAPE every other one, from the first, is a mark; the byte after a mark stands for itself.
+    first = np.flatnonzero(np.diff(marks, prepend=-2) != 1)
+    row = np.repeat(marks[first], np.diff(np.append(first, len(marks)))) if len(marks) else marks
+    marks = marks[(marks - row) % 2 == 0]
+    symbol = codes.astype(np.int64)
+    symbol[marks + 1] += 256
+    symbol = np.delete(symbol, marks)
+    spelled = [*table, *[b""] * (256 - len(table)), *[bytes([i]) for i in range(256)]]
+    size = np.fromiter(map(len, spelled), np.int64, 512)
+    start, n = np.cumsum(size) - size, size[symbol]
+    at = np.arange(int(n.sum())) + np.repeat(start[symbol] - np.cumsum(n) + n, n)
+    return np.frombuffer(b"".join(spelled), np.uint8)[at].tobytes()
 
 
 def _table_bytes(table: list[bytes]) -> bytes:
@@ -328,6 +334,16 @@ class Encoder:
             scheme, (body, names) = "UNCOMPRESSED", self._uncompressed(x, present, kind, level, estimating, path)
         return Stream(struct.pack("<BI", codes[scheme], len(x)) + body, (scheme, *names))
 
+    def estimates(self, x: np.ndarray, present: np.ndarray, kind: str) -> dict[str, float]:
+        """Estimated ratio of each usable scheme: from the statistics of the block, or from its sample, encoded."""
+        sx, sp = self._sample(x, present)
+        level, out = self.config.max_depth, {}
+        for scheme, ratio in self._candidates(x, present, kind, level, False).items():
+            if ratio is None:
+                ratio = len(sx) * WIDTH[kind] / max(len(getattr(self, f"_{scheme.lower()}")(sx, sp, kind, level, True, ())[0]), 1)
+            out[scheme] = float(ratio)
+        return out
+
     def _choose(self, x, present, kind, level, nested, estimating, codes) -> str:
         if self.config.try_all and not estimating:
             tries = {s: len(getattr(self, f"_{s.lower()}")(x, present, kind, level, True, ())[0]) for s in self._candidates(x, present, kind, level, nested)}
@@ -436,9 +452,8 @@ class Encoder:
 
     # strings
 
-    def strings(self, values: list[bytes], present: np.ndarray) -> Stream:
+    def string_costs(self, values: list[bytes], present: np.ndarray, distinct: list[bytes]) -> dict[str, float]:
         n, c, on = len(values), self.config, self.config.string_schemes
-        distinct = sorted(set(values))
         u, total, unique = len(distinct), sum(map(len, values)), sum(map(len, distinct))
         raw, there = 4 * (n + 1) + total, int(present.sum())
         cost = {"UNCOMPRESSED": 1.0}
@@ -453,7 +468,12 @@ class Encoder:
         for b in (8, 16):
             if f"DICTIONARY_{b}" in on and u <= (1 << b) - 1:
                 cost[f"DICTIONARY_{b}"] = raw / (n * b / 8 + 4 * (1 + u) + 8 + unique)
-        scheme = c.overrides.get(()) or max(cost, key=lambda s: (cost[s], STRING_SCHEMES[s]))
+        return cost
+
+    def strings(self, values: list[bytes], present: np.ndarray) -> Stream:
+        n, distinct = len(values), sorted(set(values))
+        cost = self.string_costs(values, present, distinct) if n else {"UNCOMPRESSED": 1.0}
+        scheme = self.config.overrides.get(()) or max(cost, key=lambda s: (cost[s], STRING_SCHEMES[s]))
         if n == 0:
             scheme = "UNCOMPRESSED"
         body, names = getattr(self, f"_string_{scheme.lower()}")(values, present, distinct)
@@ -578,3 +598,13 @@ def decode_strings(data: bytes | memoryview) -> list[bytes]:
     text = expand_symbols(parts[1], table) if len(parts[0]) else bytes(parts[1])
     words = _cut(text, np.concatenate([[0], np.cumsum(decode_numbers(parts[2], "int"))]))
     return words if name == "FSST" else [words[i] for i in decode_numbers(parts[3], "int").tolist()]
+
+
+def symbol_table(data: bytes | memoryview) -> tuple[list[bytes], int, int] | None:
+    """(symbols, bytes of the strings, bytes of their coded form) of a stream of strings; None if it has no symbol table."""
+    view = memoryview(data)
+    name = _STRING[struct.unpack_from("<BI", view)[0]]
+    parts = split(view[5:]) if name in ("DICT", "FSST") else []
+    if not parts or not len(parts[0]):
+        return None
+    return _table_from(parts[0]), int(decode_numbers(parts[2], "int").sum()), len(parts[1])

@@ -46,10 +46,6 @@ def zone_map(df: DataFrame) -> DataFrame:
 
 
 def scan_between(df: DataFrame, zones: DataFrame, low, high) -> DataFrame:
-    """Rows with a value in [low, high]; blocks whose range misses it are skipped by a semi join before the rows are looked at."""
+    """Rows with a value in [low, high]: both bounds reach the scan of ``df``, and a stored zone map (a row a block) tells which blocks are alive."""
     alive = zones.where((F.col("hi") >= low) & (F.col("lo") <= high)).select("block_id")
-    return df.join(alive, "block_id", "left_semi").where(F.col("v").between(low, high))
-
-
-def lookup(df: DataFrame, *row_ids: int) -> DataFrame:
-    return df.where(F.col("row_id").isin(*row_ids))
+    return df.where(F.col("v").between(low, high)).join(alive, "block_id", "left_semi")

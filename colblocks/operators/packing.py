@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import align_up
 
 
+def _greedy(limit: int):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block_id")
+        filled = np.cumsum(table.column("size").to_numpy())
+        part, start, number = np.zeros(len(filled), np.int64), 0, 0
+        while start < len(filled):  # a step a part, not a block
+            before = filled[start - 1] if start else 0
+            end = int(np.searchsorted(filled, before + limit, "right"))
+            part[start:end] = number
+            start, number = end, number + 1
+        return table.append_column("part", pa.array(part))
+
+    return run
+
+
 def pack_parts(sizes: DataFrame, limit: int) -> DataFrame:
     """``sizes(column, block_id, size)`` with ``part``: blocks in order join a part while its sizes' sum stays within ``limit``.
 
-    The greedy choice depends on all before, so it is a fold over the blocks of a column, which are few and small (a row per
-    65,536 values). A block over the limit raises.
+    The greedy choice depends on all before, so a task folds the blocks of a column: 16 bytes for each 65,536 values. A block
+    over the limit raises.
     """
-    step = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("block_id", "size"))),
-        F.struct(F.lit(-1).cast("long").alias("part"), F.lit(limit + 1).cast("long").alias("fill"), F.array().cast("array<struct<block_id:bigint,size:bigint,part:bigint>>").alias("out")),
-        lambda acc, x: F.struct(
-            F.when(acc["fill"] + x["size"] <= limit, acc["part"]).otherwise(acc["part"] + 1).alias("part"),
-            F.when(acc["fill"] + x["size"] <= limit, acc["fill"] + x["size"]).otherwise(x["size"]).alias("fill"),
-            F.concat(acc["out"], F.array(F.struct(x["block_id"].alias("block_id"), x["size"].alias("size"), F.when(acc["fill"] + x["size"] <= limit, acc["part"]).otherwise(acc["part"] + 1).alias("part")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    checked = sizes.withColumn("size", F.when(F.col("size") <= limit, F.col("size")).otherwise(F.raise_error(F.lit("a block is larger than a part")).cast("long")).cast("long"))
-    return checked.groupBy("column").agg(step.alias("p")).select("column", F.explode("p").alias("p")).select("column", "p.*")
+    checked = sizes.select("column", "block_id", F.when(F.col("size") <= limit, F.col("size")).otherwise(F.raise_error(F.lit("a block is larger than a part")).cast("long")).cast("long").alias("size"))
+    return checked.groupBy("column").applyInArrow(_greedy(limit), "column string, block_id long, size long, part long")
 
 
 def part_sizes(packed: DataFrame) -> DataFrame:
@@ -48,8 +55,15 @@ def compression_report(sizes: DataFrame) -> DataFrame:
 
 
 def scheme_report(choice: DataFrame) -> DataFrame:
-    """(column, scheme, blocks, tuples, block_ids) by description of the cascade."""
-    return choice.groupBy("column", "scheme").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("tuples"), F.sort_array(F.collect_list("block_id")).alias("block_ids"))
+    """(column, scheme, blocks, tuples, first_block, last_block) by description of the cascade."""
+    return choice.groupBy("column", "scheme").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("tuples"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"))
+
+
+def scheme_ranges(choice: DataFrame) -> DataFrame:
+    """(column, scheme, first_block, last_block, tuples): the stretches of neighbouring blocks with one scheme."""
+    own = Window.partitionBy("column").orderBy("block_id")
+    marked = choice.withColumn("_run", F.row_number().over(own) - F.row_number().over(Window.partitionBy("column", "scheme").orderBy("block_id")))
+    return marked.groupBy("column", "scheme", "_run").agg(F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"), F.sum("n").alias("tuples")).drop("_run")
 
 
 def ratio_rollup(sizes: DataFrame) -> DataFrame:

@@ -21,6 +21,20 @@ def profile_strings(df: DataFrame, by: tuple[str, ...] = ("block_id",)) -> DataF
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.floor(F.coalesce(F.sum(size), F.lit(0)) / F.count(F.lit(1))).alias("average_length"), F.count_if(F.col("v").isNull()).alias("nulls"), F.count_if(F.col("v") == "").alias("empty"), F.countDistinct("v").alias("uniq"))
 
 
+def random_element(df: DataFrame, seed: int = 42, by: tuple[str, ...] = ("block_id",)) -> DataFrame:
+    """A present value of each block: that of the row whose number hashes lowest."""
+    rank = F.when(F.col("v").isNotNull(), F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string"))))
+    return df.groupBy(*by).agg(F.min_by("v", rank).alias("random_element"))
+
+
+def exponent_share(df: DataFrame, bits: str = "bits") -> DataFrame:
+    """(blocks, single, pct): blocks whose values all have one binary exponent."""
+    from ..functions.scalar import ieee_exponent
+
+    per = df.where(F.col(bits).isNotNull()).groupBy("block_id").agg(F.countDistinct(ieee_exponent(F.col(bits))).alias("e"))
+    return per.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("e") <= 1).alias("single"), F.round(100.0 * F.count_if(F.col("e") <= 1) / F.count(F.lit(1)), 6).alias("pct"))
+
+
 def profile_with_tops(df: DataFrame, strings: bool = False, by: tuple[str, ...] = ("block_id",), k: int = 3) -> DataFrame:
     """The profile with the top values as an array, empty places left out."""
     tops = top_values(df, k, by).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("value").cast("string").alias("value"), "pct"))), lambda t: F.struct(t["value"].alias("value"), t["pct"].alias("pct"))).alias("top"))

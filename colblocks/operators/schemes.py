@@ -155,6 +155,29 @@ def max_exponent(df: DataFrame, max_bits: int = 31) -> DataFrame:
     return pseudodecimal_encode(df, max_bits).where(F.col("e") < NO_EXPONENT).groupBy("block_id").agg(F.max("e").alias("exponent"))
 
 
+def max_exponent_encode(df: DataFrame, exponents: DataFrame) -> DataFrame:
+    """(block_id, pos, negative, number, exponent, patch): all values of a block at its one exponent, signs apart, the rest as patches."""
+    x, e = F.abs(stored("v", 0.0)), F.col("exponent").cast("long")
+    number, v = decimal_number(x, e), stored("v", 0.0)
+    fits = F.coalesce((decimal_value(number, e) == x) & (x < 1e15), F.lit(False))
+    out = df.join(exponents, "block_id", "left")
+    negative = (v < 0) | (v.cast("string") == "-0.0")
+    return out.select("block_id", "pos", negative.alias("negative"), F.when(fits, number).alias("number"), e.alias("exponent"), F.when(~fits, v).alias("patch"))
+
+
+def max_exponent_decode(encoded: DataFrame) -> DataFrame:
+    value = decimal_value(F.col("number"), F.col("exponent"))
+    return encoded.withColumn("value", F.coalesce("patch", F.when(F.col("negative"), -value).otherwise(value)))
+
+
+def run_packing_cost(runs: DataFrame) -> DataFrame:
+    """(block_id, separate, interleaved): bits of packed runs, values and lengths apart or in turn, in mini-blocks of 32."""
+    apart = lambda c: bitpack_cost(runs.select("block_id", F.col("run_id").alias("pos"), F.col(c).alias("v"))).select("block_id", F.col("bits_total").alias(c))
+    both = runs.select("block_id", F.explode(F.array(F.struct((2 * F.col("run_id")).alias("pos"), F.col("value").cast("long").alias("v")), F.struct((2 * F.col("run_id") + 1).alias("pos"), F.col("cnt").cast("long").alias("v")))).alias("x")).select("block_id", "x.*")
+    turn = bitpack_cost(both).select("block_id", F.col("bits_total").alias("interleaved"))
+    return apart("value").join(apart("cnt"), "block_id").join(turn, "block_id").select("block_id", (F.col("value") + F.col("cnt")).alias("separate"), "interleaved")
+
+
 def mismatches(decoded: DataFrame, original: DataFrame, value: str = "value", v: str = "v", keys: tuple[str, ...] = ("block_id", "pos")) -> DataFrame:
     """(rows, mismatches) of decoded values against the originals; only where a value is present."""
     j = decoded.select(*keys, F.col(value).alias("_a")).join(original.select(*keys, F.col(v).alias("_b")), list(keys), "full")

@@ -16,6 +16,7 @@ from ..operators import profile as R
 from ..operators import schemes as E
 from ..operators import select as X
 from ..operators import stats as A
+from ..scratch import Scratch
 from ..sources import csvio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,10 +46,29 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_NUMBERED: dict[tuple, B.Numbered] = {}
+
+
+def numbered(spark: SparkSession, sf_dir: str, table: str, columns: list[str] | None = None, order: list[str] | None = None) -> B.Numbered:
+    """The block table of a table: put in order and written once a session and state of its file, then read by every query over it."""
+    path, order = f"{sf_dir}/{table}.parquet", order or ORDER[table]
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = store.getFileStatus(place).getModificationTime(), store.getContentSummary(place).getLength()
+    key = (spark.sparkContext.applicationId, path, *state, tuple(columns or ()), tuple(order))
+    if key not in _NUMBERED:
+        df = spark.read.parquet(path)
+        _NUMBERED[key] = B.Numbered(df.select(*columns) if columns else df, *order)
+    return _NUMBERED[key]
+
+
+def block_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return B.with_block(numbered(spark, sf_dir, table).rows(), BLOCK[table])
+
+
 def cut(spark: SparkSession, sf_dir: str, table: str, **columns: str | Column) -> DataFrame:
-    """Blocks of a table with the named expressions; only the columns of the order and of the expressions are read."""
-    df = B.blocks(spark.read.parquet(f"{sf_dir}/{table}.parquet"), BLOCK[table], *ORDER[table])
-    return df.select("row_id", "block_id", "pos", *[(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in columns.items()])
+    """Blocks of a table with the named expressions; the scan of the block table reads their columns only."""
+    return block_table(spark, sf_dir, table).select("row_id", "block_id", "pos", *[(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in columns.items()])
 
 
 def cut_sql(table: str, name: str = "b", **columns: str) -> str:
@@ -118,7 +138,7 @@ def value_histogram(spark, d):
 @query("one_value_blocks", """WITH b AS (SELECT (row_number() OVER (ORDER BY o_orderstatus, o_orderkey) - 1) // 1024 AS block_id, o_orderstatus AS v FROM orders)
 SELECT block_id, min(v) AS value, count(*) AS n FROM b GROUP BY block_id HAVING count(DISTINCT v) = 1""")
 def one_value_blocks(spark, d):
-    b = B.blocks(spark.read.parquet(f"{d}/orders.parquet").select("o_orderstatus", "o_orderkey"), 1024, "o_orderstatus", "o_orderkey")
+    b = B.with_block(numbered(spark, d, "orders", ["o_orderstatus", "o_orderkey"], ["o_orderstatus", "o_orderkey"]).rows(), 1024)
     return E.one_value_encode(b.withColumn("v", F.col("o_orderstatus")), "")
 
 
@@ -340,11 +360,17 @@ def scheme_choice_all_schemes(spark, d):
     return choices(spark, d, WIDE)
 
 
-@query("scheme_report", _all_costs_sql(COLUMNS, CONFIG) + CHOICE + " SELECT \"column\", scheme, count(*) AS blocks, sum(n)::BIGINT AS tuples, list(block_id ORDER BY block_id) AS block_ids FROM choice GROUP BY ALL")
+@query("scheme_report", _all_costs_sql(COLUMNS, CONFIG) + CHOICE + " SELECT \"column\", scheme, count(*) AS blocks, sum(n)::BIGINT AS tuples, min(block_id) AS first_block, max(block_id) AS last_block FROM choice GROUP BY ALL")
 def scheme_report(spark, d):
     return P.scheme_report(choices(spark, d))
 
 
+@query("scheme_ranges", _all_costs_sql(COLUMNS, CONFIG) + CHOICE + """, r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY block_id) - row_number() OVER (PARTITION BY "column", scheme ORDER BY block_id) AS g FROM choice)
+SELECT "column", scheme, min(block_id) AS first_block, max(block_id) AS last_block, sum(n)::BIGINT AS tuples FROM r GROUP BY "column", scheme, g""")
+def scheme_ranges(spark, d):
+    return P.scheme_ranges(choices(spark, d))
+
+
 def sizes(spark, d):
     return X.compressed_size(choices(spark, d))
 
@@ -360,14 +386,13 @@ def compression_ratios(spark, d):
     return P.ratio_rollup(sizes(spark, d))
 
 
-PART_LIMIT = 40_000
+PART_LIMIT = 200_000
 PACKED = ", RECURSIVE_IN AS (SELECT \"column\", block_id, compressed AS size, row_number() OVER (PARTITION BY \"column\" ORDER BY block_id) AS r FROM sizes), p AS (SELECT \"column\", block_id, size, r, 0::BIGINT AS part, size AS fill FROM RECURSIVE_IN WHERE r = 1 UNION ALL SELECT i.\"column\", i.block_id, i.size, i.r, CASE WHEN p.fill + i.size <= {0} THEN p.part ELSE p.part + 1 END, CASE WHEN p.fill + i.size <= {0} THEN p.fill + i.size ELSE i.size END FROM p JOIN RECURSIVE_IN i ON i.\"column\" = p.\"column\" AND i.r = p.r + 1)".format(PART_LIMIT)
-_PACK = (_all_costs_sql(COLUMNS, CONFIG) + CHOICE + SIZES.replace("FROM choice)", "FROM choice WHERE scheme <> 'FSST' AND raw / ratio < 40000)") + PACKED).replace("WITH ", "WITH RECURSIVE ", 1)
+_PACK = (_all_costs_sql(COLUMNS, CONFIG) + CHOICE + SIZES + PACKED).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def packed(spark, d):
-    s = sizes(spark, d).where((F.col("scheme") != "FSST") & (F.col("raw") / F.col("ratio") < PART_LIMIT))
-    return P.pack_parts(s.select("column", "block_id", F.col("compressed").alias("size")), PART_LIMIT)
+    return P.pack_parts(sizes(spark, d).select("column", "block_id", F.col("compressed").alias("size")), PART_LIMIT)
 
 
 @query("part_packing", _PACK + " SELECT \"column\", part, count(*) AS blocks, (sum(size) + 4 + 4 * count(*))::BIGINT AS bytes FROM p GROUP BY ALL")
@@ -418,14 +443,14 @@ def block_limit(spark, d):
 
 @query("range_of_rows", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id FROM events QUALIFY row_number() OVER (ORDER BY event_id) - 1 BETWEEN 100 AND 299")
 def range_of_rows(spark, d):
-    e = B.with_row_id(spark.read.parquet(f"{d}/events.parquet").select("event_id"), "event_id")
+    e = numbered(spark, d, "events").rows().select("row_id", "event_id")
     spans = spark.createDataFrame([(100, 200)], "start long, length long")
     return e.join(F.broadcast(spans), F.col("row_id").between(F.col("start"), F.col("start") + F.col("length") - 1)).select("row_id", "event_id")
 
 
 @query("row_ids_by_range", f"SELECT row_number() OVER (ORDER BY {', '.join(ORDER['lineitem'])}) - 1 AS row_id, l_orderkey, l_linenumber, l_extendedprice FROM lineitem")
 def row_ids_by_range(spark, d):
-    return B.with_row_id(spark.read.parquet(f"{d}/lineitem.parquet"), *ORDER["lineitem"], rows_per_range=5000).select("row_id", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return B.with_row_id(spark.read.parquet(f"{d}/lineitem.parquet"), *ORDER["lineitem"], partitions=12).select("row_id", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 # ---- profiles ----------------------------------------------------------------------------------------------------------
@@ -496,7 +521,7 @@ def csv_stats(spark, d):
 
 @query("csv_export_lines", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey || '|' || o_custkey || '|' || coalesce(nullif(o_orderstatus, 'F'), 'null') || '|' || o_orderpriority AS line FROM orders")
 def csv_export_lines(spark, d):
-    o = B.with_row_id(spark.read.parquet(f"{d}/orders.parquet"), "o_orderkey").select("row_id", "o_orderkey", "o_custkey", F.expr("nullif(o_orderstatus, 'F')").alias("o_orderstatus"), "o_orderpriority")
+    o = numbered(spark, d, "orders").rows().select("row_id", "o_orderkey", "o_custkey", F.expr("nullif(o_orderstatus, 'F')").alias("o_orderstatus"), "o_orderpriority")
     return o.select("row_id", csvio.export_line(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]).alias("line"))
 
 
@@ -518,10 +543,18 @@ def scalar_functions(spark, d):
 # ---- skipping, lookup, whole chunks -----------------------------------------------------------------------------------------
 
 
+def _zones(spark, d) -> DataFrame:
+    """The zone map of the orders' keys, written once beside the block table."""
+    own = numbered(spark, d, "orders")
+    if not hasattr(own, "zones"):
+        own.zones = Scratch(spark, "zones").stage(C.zone_map(cut(spark, d, "orders", v="o_orderkey")), "orders")
+    return own.zones
+
+
 @query("block_prune", f"WITH {cut_sql('orders', v='o_orderkey')} SELECT row_id, v FROM b WHERE v BETWEEN 5000 AND 5100")
 def block_prune(spark, d):
     b = cut(spark, d, "orders", v="o_orderkey")
-    return C.scan_between(b, C.zone_map(b), 5000, 5100).select("row_id", "v")
+    return C.scan_between(b, _zones(spark, d), 5000, 5100).select("row_id", "v")
 
 
 @query("zone_map", f"WITH {cut_sql('orders', v='o_orderkey')} SELECT block_id, min(v) AS lo, max(v) AS hi, count(*) AS n FROM b GROUP BY block_id")
@@ -531,18 +564,18 @@ def zone_map(spark, d):
 
 @query("row_lookup", f"WITH {cut_sql('orders', v='o_totalprice')} SELECT row_id, v FROM b WHERE row_id IN (0, 77, 1024)")
 def row_lookup(spark, d):
-    return C.lookup(cut(spark, d, "orders", v="o_totalprice"), 0, 77, 1024).select("row_id", "v")
+    return numbered(spark, d, "orders").lookup(0, 77, 1024).select("row_id", F.col("o_totalprice").alias("v"))
 
 
 @query("long_form", "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, * FROM orders) SELECT row_id, 'o_orderkey' AS \"column\", 'long' AS type, o_orderkey AS i, NULL::DOUBLE AS d, NULL::VARCHAR AS s FROM o UNION ALL SELECT row_id, 'o_totalprice', 'double', NULL, o_totalprice, NULL FROM o UNION ALL SELECT row_id, 'o_orderdate', 'long', epoch_us(o_orderdate), NULL, NULL FROM o UNION ALL SELECT row_id, 'o_orderpriority', 'string', NULL, NULL, o_orderpriority FROM o")
 def long_form(spark, d):
-    return B.long_form(B.with_row_id(spark.read.parquet(f"{d}/orders.parquet"), "o_orderkey"), ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
+    return B.long_form(numbered(spark, d, "orders").rows(), ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"])
 
 
 @query("wide_chunk_roundtrip", "SELECT count(*) AS rows, 0::BIGINT AS mismatches FROM orders")
 def wide_chunk_roundtrip(spark, d):
     """All columns of a table encoded by a relational scheme each, decoded, put side by side by row and compared."""
-    b = B.blocks(spark.read.parquet(f"{d}/orders.parquet").drop("o_orderdate"), BLOCK["orders"], "o_orderkey")
+    b = block_table(spark, d, "orders")
     of = lambda c: b.select("row_id", "block_id", "pos", F.col(c).alias("v"))
     by_row = lambda df, c: df.select((F.col("block_id") * BLOCK["orders"] + F.col("pos")).alias("row_id"), F.col("value").alias(c))
     out = by_row(E.delta_decode(E.delta_encode(of("o_orderkey"))), "o_orderkey")

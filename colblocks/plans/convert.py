@@ -35,7 +35,8 @@ def table_to_parts(df: DataFrame, path: str, *order: str, config: Config = Confi
     encoded_at = time.time()
     if verify:
         want = rows.select("row_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if dict(df.dtypes)[c].startswith("timestamp") else F.col(c) for c in kinds])
-        C.verify(E.decode(encoded, kinds, config.block_size), want)
+        parts.register(spark)
+        C.verify(spark.read.format("colblocks").load(path), want)
     sizes = encoded.select("column", F.col("raw_size").alias("raw"), (F.col("data_size") + F.col("nullmap_size")).alias("compressed"))
     report = {r["column"]: (r["raw"], r["compressed"]) for r in compression_report(sizes).collect()}
     store, root = parts._store(staged)

@@ -1,4 +1,4 @@
-"""Encoding and decoding whole tables: a group of rows is a block, and a task encodes all its columns."""
+"""Encoding and decoding whole tables: a group is a column of a block."""
 
 from __future__ import annotations
 
@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import WIDTH, Config
+from ..config import SCHEMES, WIDTH, Config
 from ..operators import blocks as B
 from ..operators import codec as K
 
 #: A row per column of a block.
-ENCODED = "column string, column_no int, type string, block_id long, tuple_count int, scheme string, description string, raw_size long, data_size long, nullmap_type string, nullmap_size long, lo double, hi double, nullmap binary, payload binary"
-_FIELDS = [("column", pa.string()), ("column_no", pa.int32()), ("type", pa.string()), ("block_id", pa.int64()), ("tuple_count", pa.int32()), ("scheme", pa.string()), ("description", pa.string()), ("raw_size", pa.int64()), ("data_size", pa.int64()), ("nullmap_type", pa.string()), ("nullmap_size", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("nullmap", pa.binary()), ("payload", pa.binary())]
+ENCODED = "column string, column_no int, type string, block_id long, tuple_count int, scheme string, description string, raw_size long, data_size long, nullmap_type string, nullmap_size long, lo double, hi double, ilo long, ihi long, nan boolean, present long, nullmap binary, payload binary"
+_FIELDS = [("column", pa.string()), ("column_no", pa.int32()), ("type", pa.string()), ("block_id", pa.int64()), ("tuple_count", pa.int32()), ("scheme", pa.string()), ("description", pa.string()), ("raw_size", pa.int64()), ("data_size", pa.int64()), ("nullmap_type", pa.string()), ("nullmap_size", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("ilo", pa.int64()), ("ihi", pa.int64()), ("nan", pa.bool_()), ("present", pa.int64()), ("nullmap", pa.binary()), ("payload", pa.binary())]
 
 
 def to_stored(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray | list[bytes], np.ndarray]:
@@ -38,38 +38,127 @@ def encode_column(values, present: np.ndarray, kind: str, config: Config) -> tup
     return stream, raw, *K.encode_present(present)
 
 
+def bounds(values, present: np.ndarray, kind: str) -> tuple:
+    """(lo, hi, ilo, ihi, nan): doubles without their NaNs, whole numbers as such; null where there is nothing to bound."""
+    if kind == "string" or not present.any():
+        return None, None, None, None, False
+    some = values[present]
+    if kind != "double":
+        return None, None, int(some.min()), int(some.max()), False
+    real = some[~np.isnan(some)]
+    nan = len(real) < len(some)
+    return (float(real.min()), float(real.max()), None, None, nan) if len(real) else (None, None, None, None, nan)
+
+
+def _fragmenter(kinds: list[str]):
+    """Rows of a batch -> a row per block and column with the column's cells as one Arrow message."""
+
+    def run(batches):
+        for batch in batches:
+            block, pos = batch.column("block_id").to_numpy(), batch.column("pos").to_numpy()
+            if (np.diff(block) < 0).any():
+                order = np.argsort(block, kind="stable")
+                batch, block, pos = batch.take(pa.array(order)), block[order], pos[order]
+            edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+            rows = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                places = pos[a:b]
+                dense = bool((np.diff(places) == 1).all())
+                for i in range(len(kinds)):
+                    cells = {"v": batch.column(f"_{i}").slice(a, b - a)} | ({} if dense else {"pos": pa.array(places)})
+                    rows.append((i, int(block[a]), int(places[0]), dense, pa.RecordBatch.from_pydict(cells).serialize().to_pybytes()))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FRAGMENT)], names=[n for n, _ in _FRAGMENT])
+
+    return run
+
+
+_FRAGMENT = [("column_no", pa.int32()), ("block_id", pa.int64()), ("start", pa.int64()), ("dense", pa.bool_()), ("cells", pa.binary())]
+_CELL = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
+
+def _gathered(table: pa.Table, names: list[str], kinds: dict[str, str]) -> tuple[str, str, int, np.ndarray | list[bytes], np.ndarray]:
+    """(name, kind, block, stored values in order, present) of a group of fragments."""
+    table = table.sort_by("start")
+    i, block = table.column("column_no")[0].as_py(), table.column("block_id")[0].as_py()
+    kind = kinds[names[i]]
+    value, place = pa.field("v", _CELL[kind]), pa.field("pos", pa.int64())
+    cells, places = [], []
+    for start, dense, data in zip(*(table.column(c).to_pylist() for c in ("start", "dense", "cells"))):
+        got = pa.ipc.read_record_batch(pa.py_buffer(data), pa.schema([value] if dense else [value, place]))
+        cells.append(got.column(0))
+        places.append(np.arange(start, start + len(got)) if dense else got.column(1).to_numpy())
+    column, at = pa.chunked_array(cells), np.concatenate(places)
+    if (np.diff(at) < 0).any():
+        column = column.take(pa.array(np.argsort(at, kind="stable")))
+    return names[i], kind, block, *to_stored(column, kind)
+
+
+def _own(config: Config, column: str) -> Config:
+    return config.configure(overrides={path: scheme for (name, path), scheme in config.overrides.items() if name == column})
+
+
 def _encoder(kinds: dict[str, str], config: Config):
-    def own(column: str) -> Config:
-        forced = {path: scheme for (name, path), scheme in config.overrides.items() if name == column}
-        return config.configure(overrides=forced)
+    names = list(kinds)
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        block, rows = table.column("block_id")[0].as_py(), []
-        for i, (name, kind) in enumerate(kinds.items()):
-            values, present = to_stored(table.column(f"_{i}"), kind)
-            stream, raw, how, nullmap = encode_column(values, present, kind, own(name))
-            lo = hi = None
-            if kind != "string" and present.any():
-                lo, hi = float(values[present].min()), float(values[present].max())
-            rows.append((name, i, kind, block, len(present), stream.names[0], stream.description, raw, len(stream.data), how, len(nullmap), lo, hi, nullmap, stream.data))
-        return pa.table({n: pa.array(c, t) for c, (n, t) in zip(zip(*rows), _FIELDS)})
+        name, kind, block, values, present = _gathered(table, names, kinds)
+        stream, raw, how, nullmap = encode_column(values, present, kind, _own(config, name))
+        row = (name, names.index(name), kind, block, len(present), stream.names[0], stream.description, raw, len(stream.data), how, len(nullmap), *bounds(values, present, kind), int(present.sum()), nullmap, stream.data)
+        return pa.table({n: pa.array([c], t) for c, (n, t) in zip(row, _FIELDS)})
 
     return run
 
 
+def _estimator(kinds: dict[str, str], config: Config):
+    names = list(kinds)
+
+    def run(table: pa.Table) -> pa.Table:
+        name, kind, block, values, present = _gathered(table, names, kinds)
+        encoder = K.Encoder(_own(config, name))
+        if kind == "string":
+            found, sampled = encoder.string_costs(values, present, sorted(set(values))), set()
+        else:
+            found = encoder.estimates(values, present, kind)
+            sampled = set(found) & K.SAMPLED
+        codes = SCHEMES[kind]
+        best = max(found, key=lambda s: (found[s], codes[s]))
+        uniq = len(set(values)) if kind == "string" else len(np.unique(values))
+        rows = [(name, kind, block, len(present), uniq, s, r, s in sampled, s == best) for s, r in found.items()]
+        return pa.table({n: pa.array(c, t) for c, (n, t) in zip(zip(*rows), _ESTIMATE)})
+
+    return run
+
+
+_ESTIMATE = [("column", pa.string()), ("type", pa.string()), ("block_id", pa.int64()), ("n", pa.int64()), ("uniq", pa.int64()), ("scheme", pa.string()), ("ratio", pa.float64()), ("sampled", pa.bool_()), ("best", pa.bool_())]
+ESTIMATES = "column string, type string, block_id long, n long, uniq long, scheme string, ratio double, sampled boolean, best boolean"
+
+
 def column_kinds(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """The columns that can be encoded and their value types; other types are skipped, as in a schema file."""
     kinds = {c: B.family(t) for c, t in df.dtypes if c not in ("row_id", "block_id", "pos") and (columns is None or c in columns)}
     return {c: k for c, k in kinds.items() if k}
 
 
-def encode_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
-    """Encoded columns of ``rows`` with block_id and pos. One shuffle, by block; a task holds one block at a time."""
-    kinds, types = column_kinds(rows, columns), dict(rows.dtypes)
-    cast = {"int": "int", "long": "long", "double": "double", "string": "string"}
+def _pieces(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    types, cast = dict(rows.dtypes), {"int": "int", "long": "long", "double": "double", "string": "string"}
     values = [(F.unix_micros(F.col(c).cast("timestamp")) if types[c].startswith("timestamp") else F.col(c).cast(cast[k])).alias(f"_{i}") for i, (c, k) in enumerate(kinds.items())]
-    return rows.select("block_id", "pos", *values).groupBy("block_id").applyInArrow(_encoder(kinds, config), ENCODED)
+    return rows.select(F.col("block_id").cast("long").alias("block_id"), F.col("pos").cast("long").alias("pos"), *values).mapInArrow(_fragmenter(list(kinds.values())), "column_no int, block_id long, start long, dense boolean, cells binary")
+
+
+def encode_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
+    """Encoded columns of ``rows`` with block_id and pos. One shuffle of whole column pieces, by column and block; a task holds one such at a time."""
+    kinds = column_kinds(rows, columns)
+    return _pieces(rows, kinds).groupBy("column_no", "block_id").applyInArrow(_encoder(kinds, config), ENCODED)
+
+
+def estimate_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
+    """(column, type, block_id, n, uniq, scheme, ratio, sampled, best): what each usable scheme is expected to make of a column of a block.
+
+    The ratio follows from the block's statistics or, where ``sampled``, from its sample; ``best`` marks the one that the encoder takes.
+    """
+    kinds = column_kinds(rows, columns)
+    return _pieces(rows, kinds).groupBy("column_no", "block_id").applyInArrow(_estimator(kinds, config), ESTIMATES)
 
 
 def encode(df: DataFrame, *order: str, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
@@ -117,8 +206,8 @@ def report(encoded: DataFrame) -> DataFrame:
 
 
 def describe(encoded: DataFrame) -> DataFrame:
-    """(column, description, blocks, tuples, block_ids) by the whole cascade."""
-    return encoded.groupBy("column", "description").agg(F.count(F.lit(1)).alias("blocks"), F.sum("tuple_count").alias("tuples"), F.sort_array(F.collect_list("block_id")).alias("block_ids"))
+    """(column, description, blocks, tuples, first_block, last_block) by the whole cascade."""
+    return encoded.groupBy("column", "description").agg(F.count(F.lit(1)).alias("blocks"), F.sum("tuple_count").alias("tuples"), F.min("block_id").alias("first_block"), F.max("block_id").alias("last_block"))
 
 
 def _timed(repetitions: int):
@@ -144,6 +233,29 @@ def decode_speed(encoded: DataFrame, repetitions: int = 1) -> DataFrame:
     return out.withColumn("column", F.coalesce("column", F.lit("Total"))).withColumn("mb_per_s", F.col("raw") / F.col("us"))
 
 
-def decision_log(encoded: DataFrame) -> DataFrame:
-    """What was decided for each column and block, and what came of it."""
-    return encoded.select("column", "type", "block_id", "scheme", "description", F.col("raw_size").alias("before"), F.col("data_size").alias("after"), F.round(F.col("raw_size") / F.col("data_size"), 6).alias("ratio"))
+def decision_log(encoded: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """What was decided for each column and block, what came of it, and beside it what had been expected."""
+    out = encoded.select("column", "type", "block_id", "scheme", "description", F.col("raw_size").alias("before"), F.col("data_size").alias("after"), F.round(F.col("raw_size") / F.col("data_size"), 6).alias("ratio"))
+    if estimates is None:
+        return out
+    best = estimates.where("best").select("column", "block_id", "uniq", F.col("scheme").alias("expected_scheme"), F.round("ratio", 6).alias("estimate"), "sampled")
+    return out.join(best, ["column", "block_id"], "left").withColumn("comment", F.when(F.col("scheme") != F.col("expected_scheme"), F.lit("fell back")))
+
+
+def _symbols(batches):
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            table = K.symbol_table(r["payload"])
+            if table is not None:
+                rows.append((r["column"], r["block_id"], r["scheme"], len(table[0]), sum(map(len, table[0])), table[1], table[2]))
+        cols = list(zip(*rows)) if rows else [[]] * 7
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["column", "block_id", "scheme", "symbols", "symbol_bytes", "before", "after"])
+
+
+def symbol_log(encoded: DataFrame) -> DataFrame:
+    """(column, block_id, scheme, symbols, symbol_bytes, before, after, ratio) of the blocks with a symbol table, read from their streams."""
+    own = encoded.where("type = 'string'").select("column", "block_id", "scheme", "payload")
+    out = own.mapInArrow(_symbols, "column string, block_id long, scheme string, symbols long, symbol_bytes long, before long, after long")
+    return out.withColumn("ratio", F.round(F.col("before") / F.col("after"), 6))

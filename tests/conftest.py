@@ -12,6 +12,8 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    import __spark_entry__  # noqa: F401  (functions travel to the workers by value, as under the driver)
+
     folder = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]")

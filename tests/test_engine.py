@@ -62,7 +62,7 @@ def test_part_files_and_source(spark, table, tmp_path):
     assert some.count() == 299
     reader = parts.BlocksReader(path, df.schema, 0)
     list(reader.pushFilters([parts.GreaterThan(("k",), 700)]))
-    assert [p.block_id for p in reader.partitions()] == [2, 3]
+    assert [p.blocks for p in reader.partitions()] == [[2, 3]]
     one = parts.PartReader(f"{path}/column00000_part00000")
     assert one.column(0).to_pylist()[:3] == [0, 1, 2] and one.frame(0)[:3] == ("long", "ALLONES", 256)
     with pytest.raises(Exception, match="larger than a part"):
@@ -102,7 +102,7 @@ def test_csv(spark, tmp_path):
 
 def test_row_ids_in_ranges(spark):
     df = spark.range(5000).select((F.col("id") % 50).alias("g"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("x"), "id")
-    got = B.with_row_id(df, "g", "x", "id", rows_per_range=400).orderBy("g", "x", "id").select("row_id").collect()
+    got = B.with_row_id(df, "g", "x", "id", partitions=13).orderBy("g", "x", "id").select("row_id").collect()
     assert [r[0] for r in got] == list(range(5000))
 
 
