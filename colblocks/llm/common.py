@@ -1,14 +1,13 @@
-"""Shared plumbing of the training-data operators: scratch tables, skew-proof joins, text constants."""
+"""Shared plumbing of the training-data operators: skew-proof joins, text constants."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_dir  # noqa: F401
+
 #: The six white-space characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,45 +15,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HEAVY_PARTS = 2_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="colblocks-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor never recomputes what stands before them."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/colblocks-{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-        folder = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        store.mkdirs(folder)
-        store.deleteOnExit(folder)  # lazy results read these tables as long as the session lives
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete staged tables that no later step reads."""
-        jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else. lower() does just that on pure ASCII and is far cheaper than translate()."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

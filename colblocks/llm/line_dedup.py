@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +10,17 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, Scratch, ascii_lower, hot_join
 
+#: Bytes of keys that a level's worth of batches take before there are more.
+BATCH_BYTES = 16 << 20
+
 
 class LineIndex:
     """An LSM-like index of line keys: runs bucketed and sorted by (h1, h2) on levels 0, 1, ....
 
-    A run row is (h1, h2, n documents of the batch, largest doc_id of the batch, is_new). ``add`` merge-joins a batch with the
-    runs: keys that no run holds are new (the anti-join), the others only add to the count. When a level holds ``fanout``
-    runs they are merged into one of the next level. Runs and batches are bucketed alike, so a join moves no run again.
+    A run row is (h1, h2, n, keeper, is_new). ``add`` merge-joins a batch with the keys of all runs: a key that no run holds (the
+    anti-join) enters with its keeper, a key seen before only leaves a row with its count. So each key has a keeper in one
+    row of one run, that of its first batch. When a level holds ``fanout`` runs they are merged into one of the next level. Runs and
+    batches are bucketed alike, so a join moves no run again.
     """
 
     SCHEMA = "h1 long, h2 long, n long, keeper long, is_new boolean"
@@ -36,12 +41,12 @@ class LineIndex:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (h1, h2, n, keeper), one row a key."""
+        """batch: (h1, h2, n, keeper), one row a key; batches come in the order in which they may name keepers."""
         out = batch.withColumn("is_new", F.lit(True))
         for run in self._runs():
             seen = run.where("is_new").select("h1", "h2", F.lit(True).alias("_seen"))
             out = out.join(seen.hint("merge"), ["h1", "h2"], "left").withColumn("is_new", F.col("is_new") & F.col("_seen").isNull()).drop("_seen")
-        self._write(out, 0)
+        self._write(out.withColumn("keeper", F.when(F.col("is_new"), F.col("keeper"))), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self._compact(level)
@@ -56,7 +61,7 @@ class LineIndex:
     def _merged(self, runs: list[tuple[str, str]]) -> DataFrame:
         # Read as plain files: Spark 4.1 takes a union of bucketed scans for bucketed though their partitions stay apart.
         both = self.spark.read.schema(self.SCHEMA).parquet(*[path for _, path in runs])
-        return both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.max("is_new").alias("is_new"))
+        return both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("keeper").alias("keeper"), F.max("is_new").alias("is_new"))  # one keeper a key: the others are null
 
     def _forget(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -64,7 +69,7 @@ class LineIndex:
         self.scratch.drop(gone)
 
     def keys(self) -> DataFrame:
-        """(h1, h2, n, keeper) over all batches."""
+        """(h1, h2, n, keeper): documents of all batches, and the keeper that the first batch with the key named."""
         return self._merged([run for level in self.levels for run in level]).select("h1", "h2", "n", "keeper")
 
     def close(self) -> None:
@@ -78,7 +83,12 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
+def batch_count(size: int, fanout: int) -> int:
+    """Batches for ``size`` bytes of keys: a level's worth, and one more for each doubling beyond BATCH_BYTES. Each batch reads all runs before it."""
+    return fanout + max(0, math.ceil(math.log2(max(1, size) / BATCH_BYTES)))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 4) -> DataFrame:
     """All columns of ``docs`` with (_n_lines, _n_dropped, _kept): lines that ``min_docs`` documents or more hold stay in one.
 
     A line's key is the line without [\\x20\\x09-\\x0D] at its ends, A-Z lower-cased; keys under ``min_chars`` code points
@@ -87,8 +97,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     doc_id count as documents of their own; all that carry the largest one keep the line. Columns named like the working
     columns are carried through untouched, as long as they don't begin with an underscore.
 
-    The keys (128 bits of XXH64 each) are computed once and written; documents enter the index in batches from the largest
-    doc_id down, so a key's first sight names its keeper. Hot keys are joined by broadcast (at most HEAVY_PARTS of them).
+    The keys (128 bits of XXH64 each) are computed once and written; documents enter the index in batches (``batch_count`` by
+    default) from the largest doc_id down, so the anti-join's first sight of a key names its keeper. Hot keys are joined by broadcast (at most HEAVY_PARTS of them).
     The text is shuffled once, to meet the positions of its dropped lines.
     """
     spark = docs.sparkSession
@@ -99,6 +109,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     hashed = scratch.stage(docs.select("doc_id", F.xxhash64(text).alias("th"), lines.alias("lines")).where(F.size("lines") > 0), "hashed")
 
     pairs = hashed.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))).alias("h")).select("doc_id", "h.*")
+    if batches is None:
+        batches = batch_count(16 * (hashed.agg(F.sum(F.size("lines"))).head()[0] or 0), fanout)
     cuts = hashed.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).head()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []), reverse=True)
     batch = F.lit(len(cuts))

@@ -1,9 +1,7 @@
-"""The queries of this subpackage and their SQL twins; __spark_entry__ registers both."""
+"""The queries of this subpackage and their SQL twins; __spark_entry__ registers both, and the pipeline beside them."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import langid, licenses, line_dedup, mixing, pieces, quality, simhash, substrings, vectors, warc
 
 QUERIES = {
@@ -17,6 +15,5 @@ QUERIES = {
     "op8_pieces": pieces.op8,
     "op9_mixing": mixing.op9,
     "op10_quality": quality.op10,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_line_dedup": line_dedup.OP1_SQL, "op5_warc": warc.OP5_SQL}

@@ -1,4 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands propose, exact sets decide."""
+"""SimHash near-dedup at a similarity: fingerprints and, where their bits cannot reach, min-hash bands propose; exact shingle sets decide.
+
+At a Jaccard similarity of 0.8 two fingerprints of 64 bits differ in about 10 bits and up to 18, while the segment popcounts of
+unrelated ones are about 20 apart: no grid of a radius that finds the copies leaves anything out. So the links of simhash.py, within 2
+bits, are one source of candidates here and bands of min-hashes are the other.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ranges
 from .components import connected_components
+from .simhash import fingerprint_links, shingle_hashes, simhash_of
 
 #: A pair of similarity 0.8 shares one of the bands with a probability of 0.9993, one of 0.85 with 0.99999.
 BANDS, ROWS = 24, 6
@@ -21,10 +27,8 @@ LARGEST = 2000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct XXH64 (seed 42) of the word shingles; fewer words are one shingle, no words none."""
-    words = (text or "").encode().lower().split()  # both touch ASCII only
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
 
 
 def bands_of(hashes: np.ndarray) -> list[int]:
@@ -36,12 +40,14 @@ def bands_of(hashes: np.ndarray) -> list[int]:
 def _marker(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, bands, prints = [], [], []
             for t in batch.column("text"):
-                s = shingle_set(t.as_py(), shingle)
+                pieces = list(shingle_hashes(t.as_py(), shingle))
+                prints.append(simhash_of(pieces))
+                s = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
                 keys.append(int(np.array([xxhash.xxh64_intdigest(s.tobytes(), 1)], np.uint64).view(np.int64)[0]) if len(s) else None)
                 bands.append(bands_of(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "th", "k", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "th", "k", "bands", "fp"])
 
     return run
 
@@ -77,21 +83,28 @@ def _linker(similarity: float):
     return run
 
 
-def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, th, component_id) per row of ``docs(doc_id, text)``: texts link if the Jaccard similarity of their sets of ``shingle``
     words is ``similarity`` or more.
 
-    component_id is the smallest doc_id reachable, th the hash of the text. Texts without words link with nothing. Texts that share a band
-    of min-hashes, directly or through others, form a group; within a group sets are compared exactly, by cuts of bounded size.
+    component_id is the smallest doc_id reachable, th the hash of the text. Texts without words link with nothing, repeated rows and equal
+    sets always. Texts whose fingerprints lie within 2 bits or that share a band of min-hashes, directly or through others, form a group;
+    within a group sets are compared exactly, by cuts of bounded size.
     """
     scratch = Scratch(docs.sparkSession, "shingles")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    marks = scratch.stage(texts.mapInArrow(_marker(shingle), "doc_id long, th long, k long, bands array<long>"), "marks")
-    nodes = marks.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.any_value("bands").alias("bands"))
+    marks = scratch.stage(texts.mapInArrow(_marker(shingle), "doc_id long, th long, k long, bands array<long>, fp long"), "marks")
+    nodes = marks.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.any_value("bands").alias("bands"), F.min("fp").alias("fp"))
     nodes = scratch.stage(nodes, "nodes")
     bands = nodes.select("k", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("band", "lo")
-    groups = connected_components(bands.join(shared.hint("merge"), "band").select(F.col("k").alias("a"), F.col("lo").alias("b")), scratch)
+    banded = bands.join(shared.hint("merge"), "band").select(F.col("k").alias("a"), F.col("lo").alias("b"))
+    # Equal or linked fingerprints: each class by its least node, and an edge between the classes of linked ones.
+    classes = scratch.stage(nodes.groupBy("fp").agg(F.min("k").alias("least")), "classes")
+    linked = fingerprint_links(classes, scratch).join(classes.select(F.col("fp").alias("a"), F.col("least").alias("_a")), "a")
+    linked = linked.join(classes.select(F.col("fp").alias("b"), F.col("least").alias("_b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    same = nodes.join(classes, "fp").where("k <> least").select(F.col("k").alias("a"), F.col("least").alias("b"))
+    groups = connected_components(banded.unionByName(linked).unionByName(same), scratch)
     groups = scratch.stage(nodes.select("k", "th").join(groups.withColumnRenamed("node", "k"), "k"), "groups")
     sets = texts.select("th", "text").join(groups, "th").select("k", "root", "text").mapInArrow(_sets(shingle), "k long, root long, hashes array<long>")
     sets = scratch.stage(sets.groupBy("k", "root").agg(F.any_value("hashes").alias("hashes")), "sets")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,16 @@ SEGMENT_MASK = SEGMENT_BITS - (1 << 64)
 SEGMENTS = [(3 * i, 3 if i < 21 else 1) for i in range(22)]
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash over XXH64 (seed 42) of the word shingles, repeats included; 0 without words."""
+#: Fingerprints of a grid cell that are compared in the cell; a larger cell is verified by words, which costs its members alone.
+CROWD = 32
+
+
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles in order, repeats included, by pieces; fewer words are one shingle, no words none."""
     words = (text or "").encode().lower().split()  # both touch ASCII only
     if not words:
-        return 0
-    h, counts, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
+        return
+    h, n = xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
     for at in range(0, n, PIECE):
         part = words[at : at + PIECE + shingle - 1] if n > 1 else words
         joined = b" ".join(part)
@@ -34,16 +38,30 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         m = max(1, len(part) - shingle + 1)
         last = ends[shingle - 1 :] if len(part) >= shingle else ends[-1:]
-        hashes = np.array([h(joined[s:e], 42) for s, e in zip(starts[:m].tolist(), last.tolist())], np.uint64)
+        yield np.array([h(joined[s:e], 42) for s, e in zip(starts[:m].tolist(), last.tolist())], np.uint64)
+
+
+def simhash_of(pieces: Iterable[np.ndarray]) -> int:
+    """Bit by bit whether it is set in over half of the hashes; 0 without any."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in pieces:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        n += len(hashes)
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash over the word shingles; 0 without words."""
+    return simhash_of(shingle_hashes(text, shingle))
+
 
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps)], names=["doc_id", "th", "fp"])
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fps = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps)], names=["doc_id", "th", "fp"])
+    return run
 
 
 def popcount_code(fp: Column) -> Column:
@@ -63,27 +81,36 @@ def grid_cells(fp: Column) -> Column:
     return F.array_compact(F.array(*near))
 
 
-def fingerprint_links(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) that connect exactly the fingerprints of ``distinct(fp)`` reachable over at most 2 differing bits.
 
     1. Lower bound: popcounts of 22 segments; differing bits are never fewer than the Manhattan distance of the counts. The
-       grid has cells of width 1, each fingerprint stands in all cells within distance 1, and who shares a cell with nobody
-       has no link. A cell is summed to its least and greatest fingerprint, so a cell of any size costs a row.
-    2. Verification: two fingerprints differ in at most 2 bits exactly if some word is at most 1 bit from both. At most 65
-       fingerprints surround a word, all of them linked, and the least of them gets an edge to each other.
-    No pair is ever listed, so no group of copies, however large, costs more than its members.
+       grid has cells of width 1 and each fingerprint stands in all cells within distance 1, so two within distance 2 share a cell: the
+       range join is the equality of cells. Cells are first counted, and who shares none is out.
+    2. Verification: in a cell of ``crowd`` fingerprints or fewer each is compared with those behind it by the bits in which they differ;
+       every such pair within 2 bits is an edge.
+    3. Larger cells, which near copies of one text fill, have as many pairs as the square of their size. Their fingerprints are
+       verified by words instead, just as exactly: two differ in at most 2 bits if and only if some word is at most 1 bit from both. At
+       most 65 fingerprints surround a word, all of them linked, and the least of them gets an edge to each other.
     """
-    cells = distinct.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    shared = scratch.stage(shared.select("cell"), "shared")
+    tasks = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = distinct.select("fp").repartition(tasks, "fp")  # a fingerprint has some 45 cells: small files must not meet in a few tasks
+    cells = spread.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.stage(shared, "shared")
     # Merged at every size: shared cells grow with the corpus, and the merge lets AQE split the cell of a large group.
-    near = scratch.stage(cells.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct(), "near")
+    held = scratch.stage(cells.join(shared.hint("merge"), "cell"), "held")
+    groups = held.where(F.col("n") <= crowd).groupBy("cell").agg(F.collect_list("fp").alias("fps"))  # at most ``crowd`` of them
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    behind = F.transform("fps", lambda x, i: F.transform(F.filter(F.slice("fps", i + 2, F.size("fps")), lambda y: differ(x, y) <= 2), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    paired = groups.select(F.explode(F.flatten(behind)).alias("e")).select("e.*")
+    crowded = scratch.stage(held.where(F.col("n") > crowd).select("fp").distinct(), "crowded").repartition(tasks, "fp")
     words = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)])
-    around = near.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
-    return around.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b"))
+    around = crowded.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
+    return paired.unionByName(around.select(F.get("fps", F.lit(0)).alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b")))
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, th, fp, component_id) per row of ``docs(doc_id, text)``; component_id is the smallest doc_id
     reachable, th the hash of the text.
 
@@ -92,7 +119,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    prints = scratch.stage(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints, "doc_id long, th long, fp long"), "prints")
+    prints = scratch.stage(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, th long, fp long"), "prints")
     classes = scratch.stage(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")), "classes")
     parts = connected_components(fingerprint_links(classes, scratch), scratch)
     rooted = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))

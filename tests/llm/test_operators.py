@@ -152,9 +152,10 @@ def test_lines(spark, edge, batches):
 def test_line_index_compacts(spark):
     index = line_dedup.LineIndex(spark, Scratch(spark, "t"), fanout=2)
     for b in range(5):
-        index.add(spark.range(b, b + 3).selectExpr("id AS h1", "id AS h2", "1L AS n", f"{b}L AS keeper"))
+        index.add(spark.range(b, b + 3).selectExpr("id AS h1", "id AS h2", "1L AS n", f"{10 - b}L AS keeper"))
     assert [len(x) for x in index.levels] == [1, 0, 1]
-    assert {(r["h1"], r["n"], r["keeper"]) for r in index.keys().collect()} == {(i, sum(b <= i < b + 3 for b in range(5)), min(i, 4)) for i in range(7)}
+    assert {(r["h1"], r["n"], r["keeper"]) for r in index.keys().collect()} == {(i, sum(b <= i < b + 3 for b in range(5)), 10 - max(0, i - 2)) for i in range(7)}
+    assert sum(r.where("keeper IS NOT NULL").count() for r in index._runs()) == 7  # only a key's first batch may name its keeper
     assert sum(r.where("is_new").count() for r in index._runs()) == 7
     index.close()
 
