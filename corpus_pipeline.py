@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, shingle near-dedup, mixing to target weights, SentencePiece encoding.
+"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. ``run`` writes each stage's rows as Parquet
 to the shared scratch folder and reads them again for the next.
@@ -14,8 +14,7 @@ from colblocks.llm.langid import identify
 from colblocks.llm.line_dedup import dedup_lines
 from colblocks.llm.mixing import mix, repetitions
 from colblocks.llm.pieces import encode
-from colblocks.llm.shingles import similar_components
-from colblocks.llm.simhash import simhash_components
+from colblocks.llm.shingles import near_duplicates
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +38,8 @@ def first_of_each(spark: SparkSession, docs: DataFrame, named: DataFrame) -> Dat
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose fingerprints differ in 2 bits or fewer the first."""
-    return first_of_each(spark, docs, simhash_components(docs))
-
-
-def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles have a similarity of 0.8 or more the first."""
-    return first_of_each(spark, docs, similar_components(docs))
+    return first_of_each(spark, docs, near_duplicates(docs))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +56,6 @@ STAGES = [
     ("language_id", known_languages),
     ("line_dedup", unrepeated_lines),
     ("simhash", distinct_documents),
-    ("shingles", dissimilar_documents),
     ("mixing", mixed_sources),
     ("pieces", encoded),
 ]
