@@ -20,27 +20,35 @@ from .common import Scratch, hot_join
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of records that a reading task is meant to take.
+TASK_BYTES = 64 << 20
 MANIFEST = "page_id long, record_id string, bundle string, frame int, offset long, length long"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:page:{'null' if page_id is None else page_id}"
+def record_id(bundle: uuid.UUID, number: int) -> str:
+    """A name of its own for each record, whatever page_ids repeat: a function of the bundle and its place there."""
+    return f"urn:uuid:{uuid.uuid5(bundle, str(number))}"
 
 
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record: a response, or a revisit whose HTTP header keeps the length of the payload left out."""
+def record(name: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC/1.1 record: a response, or a revisit whose HTTP header keeps the length of the payload left out.
+
+    Page-ID and Refers-To-Page-ID are fields of our own beside the standard ones: pages are found by number, records by name.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     head.append(f"WARC-Payload-Digest: sha1:{digest32(payload)}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{record_id(refers_to)}>"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -121,7 +129,7 @@ def _writer(root: str, bundle_bytes: int, frame_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(root)
         store.create_dir(folder, recursive=True)
-        writer, path, rows = None, "", []
+        writer, name, path, rows, number = None, uuid.UUID(int=0), "", [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal rows
@@ -133,10 +141,13 @@ def _writer(root: str, bundle_bytes: int, frame_bytes: int):
             for page_id, url, html, keeper in zip(*(batch.column(c) for c in ("page_id", "url", "html", "keeper"))):
                 page, keep, payload = page_id.as_py(), keeper.as_py(), (html.as_py() or "").encode()
                 if writer is None:  # a name of its own for each attempt: a repeated task never touches a file in the manifest
-                    path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+                    name, number = uuid.uuid4(), 0
+                    path = f"{folder}/{name.hex}.warc.zst"
                     writer = BundleWriter(store.open_output_stream(path, compression=None), frame_bytes)
-                data = record(page, url.as_py(), payload, keep, keep is not None and keep != page)
-                rows.append((page, record_id(page), path, *writer.add(data), len(data)))
+                own = record_id(name, number)
+                data = record(own, page, url.as_py(), payload, keep, keep is not None and keep != page)
+                rows.append((page, own, path, *writer.add(data), len(data)))
+                number += 1
                 if writer.written > bundle_bytes:
                     writer.close()
                     writer = None
@@ -151,12 +162,27 @@ def _writer(root: str, bundle_bytes: int, frame_bytes: int):
 def _reader(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(root)
+        path = reader = source = frame = content = None
         for batch in batches:
-            for path in batch.column("bundle"):
-                with store.open_input_file(path.as_py()) as source:
-                    for content in BundleReader(source).frames():
-                        rows = [_row(head, block) for head, block in parse(content)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=_READ)
+            rows = []
+            for bundle, number, offset, length, name in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length", "record_id"))):
+                if bundle != path:
+                    if source is not None:
+                        source.close()
+                    source = store.open_input_file(bundle)
+                    path, reader, frame = bundle, BundleReader(source), None
+                if number != frame:
+                    frame, content = number, reader.frame(number)
+                head, block = next(parse(content[offset : offset + length]))
+                if head["WARC-Record-ID"] != f"<{name}>":
+                    raise ValueError(f"the manifest's {name} is not in its place")
+                rows.append(_row(head, block))
+                if len(rows) == 1000:
+                    yield _read_batch(rows)
+                    rows = []
+            yield _read_batch(rows)
+        if source is not None:
+            source.close()
 
     return run
 
@@ -164,14 +190,19 @@ def _reader(root: str):
 _READ = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
 
 
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(_READ)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=_READ)
+
+
 def _row(head: dict[str, str], block: bytes) -> tuple:
-    number = lambda uri: None if uri is None or uri.endswith("null>") else int(uri.rpartition(":")[2][:-1])
+    number = lambda field: int(head[field]) if field in head else None
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.rpartition(b"Content-Length: ")[2])
     kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (len(payload) != size or digest32(payload) != digest):
         raise ValueError(f"damaged record {head['WARC-Record-ID']}")
-    return number(head["WARC-Record-ID"]), size, digest, kind, number(head.get("WARC-Refers-To")), payload.decode() if kind == "response" else None
+    return number("Page-ID"), size, digest, kind, number("Refers-To-Page-ID"), payload.decode() if kind == "response" else None
 
 
 def write_warc(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, bundle_bytes: int = 64 << 20, frame_bytes: int = 1 << 18) -> tuple[DataFrame, str]:
@@ -179,7 +210,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, bundle_by
 
     Of rows with equal payloads of ``min_bytes`` bytes or more, that with the largest page_id is the response and the others
     revisit it; smaller payloads are all responses. A null html is an empty payload. Rows that share the largest page_id are all
-    responses; a null page_id revisits any other and is a response among its like. A null url leaves out the target.
+    responses; record ids tell them apart; a null page_id revisits any other and is a response among its like. A null url leaves out the target.
 
     Tasks stream records to files of their own in the shared folder and report them in the manifest, which is
     written at once; files of failed attempts are in no manifest.
@@ -193,13 +224,17 @@ def write_warc(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, bundle_by
     return scratch.stage(placed.mapInArrow(_writer(root, bundle_bytes, frame_bytes), MANIFEST), "manifest"), root
 
 
-def read_warc(manifest: DataFrame, root: str) -> DataFrame:
-    """The records of all bundles in the manifest: (page_id, payload_bytes, payload_digest, record_type, refers_to, html).
+def read_warc(manifest: DataFrame, root: str, frames_per_task: int = 64) -> DataFrame:
+    """The records of the manifest: (page_id, payload_bytes, payload_digest, record_type, refers_to, html).
 
-    Digests and lengths of responses are checked while reading; html is null for revisits.
+    Each record is read at its bundle, frame and offset. Stretches of neighbouring frames of a bundle are dealt out over the
+    tasks, sorted, so a task reads a frame once and no bundle waits for another. Names, digests and lengths are
+    checked while reading; html is null for revisits.
     """
-    bundles = manifest.select("bundle").distinct()
-    return bundles.mapInArrow(_reader(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    places = manifest.select("bundle", "frame", "offset", "length", "record_id").repartition(max(tasks, held // TASK_BYTES), "bundle", F.floor(F.col("frame") / frames_per_task))
+    return places.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_reader(root), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
 def read_record(root: str, bundle: str, frame: int, offset: int, length: int) -> bytes:
