@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 
 import numpy as np
@@ -18,6 +20,9 @@ from .quality import TOKENIZERS, VOCABULARY
 INDEX_CHARS, BATCH_CHARS = 400_000, 4_000_000
 #: Words kept encoded within a task.
 CACHE_WORDS = 400_000
+#: Characters of a word that is merged by rounds, along with all others.
+LONG_WORD = 64
+NEVER = np.iinfo(np.int64).max
 MARK = "▁"
 _PARTS = re.compile(r"▁*[^▁\n]+|▁+|\n+")
 
@@ -81,58 +86,145 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = new
 
 
-def find_edges(codes: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """edge[start, length]: number (in v.ids) of the piece that stands there, or -1. Zeros in ``codes`` part the words."""
-    n, width = len(codes), v.max_len
-    order = suffix_array(codes, width)
-    padded = np.concatenate([codes, np.zeros(width, codes.dtype)]).astype(">u2")
-    # No piece holds a 0, so keys may run over the end of a word.
-    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[:n]
-    keys = np.ascontiguousarray(rows[order]).view(f"S{2 * width}").ravel()
-    lo, hi = np.searchsorted(keys, v.keys, "left"), np.searchsorted(keys, v.ends, "right")
-    count = hi - lo
-    which = np.repeat(np.arange(len(count)), count)
-    at = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-    edge = np.full((n, width + 1), -1, np.int32)
-    edge[at, v.lens[which]] = which
-    return edge
-
-
-def relax(edge: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the tokens of all words, by the order of merges.
-
-    Each round contracts in every word the edge of least rank that spans two neighbouring tokens, the leftmost of equals,
-    until no word has such an edge: what the agenda of a BPE model does, for all words at once.
+class Edges:
+    """Places of pieces of two characters or more, sorted by position: start, length and number in v.ids.
+
+    Zeros in ``codes`` part the words. The text is indexed by stretches of INDEX_CHARS, each long enough for pieces that begin in it.
+    """
+
+    def __init__(self, codes: np.ndarray, v: Vocabulary, stretch: int = INDEX_CHARS):
+        self.v, self.n, self.wide = v, len(codes), v.max_len + 1
+        keys, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for at in range(0, len(codes), stretch):
+            start, which = self._occurrences(codes[at : at + stretch + v.max_len - 1], min(stretch, len(codes) - at))
+            keys.append((start + at) * self.wide + v.lens[which])
+            pieces.append(which.astype(np.int32))
+        keys, pieces = np.concatenate(keys), np.concatenate(pieces)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.pieces = keys[order], pieces[order]
+
+    def _occurrences(self, codes: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of all pieces that begin in the first ``upto`` characters: a binary search of each in the suffix array."""
+        v, width = self.v, self.v.max_len
+        order = suffix_array(codes, width)
+        order = order[order < upto]
+        padded = np.concatenate([codes, np.zeros(width, codes.dtype)]).astype(">u2")
+        # No piece holds a 0, so keys may run over the end of a word.
+        rows = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(codes)]
+        keys = np.ascontiguousarray(rows[order]).view(f"S{2 * width}").ravel()
+        lo, hi = np.searchsorted(keys, v.keys, "left"), np.searchsorted(keys, v.ends, "right")
+        count = hi - lo
+        return order[ranges(lo, count)], np.repeat(np.arange(len(count)), count)
+
+    def piece(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Number of the piece that stands there, or -1."""
+        key = start * self.wide + length
+        at = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[at] == key, self.pieces[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+    def rank(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Rank of the merge that makes this piece, NEVER without one."""
+        e = self.piece(start, length)
+        return np.where(e >= 0, self.v.rank[e], NEVER)
+
+
+def relax(edges: Edges, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the tokens of all words, by the order of merges: the edge of least rank that spans two neighbouring
+    tokens is contracted, the leftmost of equals, until a word has no such edge. What the agenda of a BPE model does.
+
+    Words of LONG_WORD characters or fewer take a contraction each in a round for all of them, and longer ones an agenda of their own.
     """
+    long = ends - starts > LONG_WORD
+    done_s, done_e = _rounds(edges, starts[~long], ends[~long])
+    for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+        s, e = _agenda(edges, a, b)
+        done_s.append(s)
+        done_e.append(e)
+    s, e = np.concatenate(done_s), np.concatenate(done_e)
+    order = np.argsort(s, kind="stable")
+    return s[order], (e - s)[order]
+
+
+def _rounds(edges: Edges, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     token = ranges(starts, ends - starts)
     word = np.repeat(np.arange(len(starts)), ends - starts)
     stop = token + 1
-    done_s, done_e = [], []
-    big = np.iinfo(np.int64).max
-    n = len(edge)
+    done_s, done_e = [token[:0]], [token[:0]]
+    n = edges.n
+    pair, stale = np.full(len(token), NEVER), np.ones(len(token), bool)
     while len(token):
-        pair = np.full(len(token), big)
-        if len(token) > 1:
-            span = stop[1:] - token[:-1]
-            ok = (word[1:] == word[:-1]) & (span <= v.max_len)
-            i = np.flatnonzero(ok)
-            e = edge[token[i], span[i]]
-            pair[i] = np.where(e >= 0, v.rank[e] * n + token[i], big)
+        # Only pairs beside the last contraction have changed.
+        i = np.flatnonzero(stale)
+        pair[i] = NEVER
+        i = i[i + 1 < len(token)]
+        i = i[word[i + 1] == word[i]]
+        span = stop[i + 1] - token[i]
+        i, span = i[span < edges.wide], span[span < edges.wide]
+        rank = edges.rank(token[i], span)
+        pair[i] = np.where(rank < NEVER, rank * n + token[i], NEVER)
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         best = np.minimum.reduceat(pair, first)
         size = np.diff(np.append(first, len(token)))
-        live = np.repeat(best < big, size)
+        live = np.repeat(best < NEVER, size)
         done_s.append(token[~live])
         done_e.append(stop[~live])
-        merge = live & (pair == np.repeat(best, size))
-        m = np.flatnonzero(merge)
+        m = np.flatnonzero(live & (pair == np.repeat(best, size)))
         stop[m] = stop[m + 1]
-        keep = live.copy()
+        stale[:] = False
+        stale[m] = True
+        stale[np.maximum(m - 1, 0)] = True
+        keep = live
         keep[m + 1] = False
-        token, stop, word = token[keep], stop[keep], word[keep]
-    s, e = np.concatenate(done_s or [token]), np.concatenate(done_e or [stop])
-    order = np.argsort(s, kind="stable")
-    return s[order], (e - s)[order]
+        token, stop, word, pair, stale = token[keep], stop[keep], word[keep], pair[keep], stale[keep]
+    return done_s, done_e
+
+
+def _agenda(edges: Edges, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """One word by a heap of its pairs: n log n steps whatever its length."""
+    n, wide = end - start, edges.wide
+    lo, hi = np.searchsorted(edges.keys, [start * wide, end * wide])
+    at, size = edges.keys[lo:hi] // wide - start, (edges.keys[lo:hi] % wide).astype(np.uint8).tobytes()
+    rank = array("q", edges.v.rank[edges.pieces[lo:hi]].tobytes())
+    first = array("q", np.searchsorted(at, np.arange(n + 1)).tobytes())
+
+    def look(a: int, b: int) -> int:
+        """Rank of the piece from a to b."""
+        for e in range(first[a], first[a + 1]):
+            if size[e] == b - a:
+                return rank[e]
+        return -1
+
+    stop, before, now = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", [-1]) * n
+    heap = []
+    for a in range(n - 1):
+        now[a] = look(a, a + 2)
+        if now[a] >= 0:
+            heap.append(now[a] * n + a)
+    heapify(heap)
+    while heap:
+        r, a = divmod(heappop(heap), n)
+        if now[a] != r:
+            continue  # one of the two has been merged since
+        b = stop[a]
+        stop[a], now[b] = stop[b], -1
+        if stop[a] < n:
+            before[stop[a]] = a
+            now[a] = look(a, stop[stop[a]])
+            if now[a] >= 0:
+                heappush(heap, now[a] * n + a)
+        else:
+            now[a] = -1
+        p = before[a]
+        if p >= 0:
+            now[p] = look(p, stop[a])
+            if now[p] >= 0:
+                heappush(heap, now[p] * n + p)
+    s, a = [], 0
+    while a < n:
+        s.append(a)
+        a = stop[a]
+    s = np.array(s, np.int64) + start
+    return s, np.append(s[1:], end)
 
 
 def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +235,9 @@ def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     starts = ends - lens
     codes = v.codes(points)
     codes[ends] = 0
-    edge = find_edges(codes, v)
-    s, length = relax(edge, starts, ends, v)
-    ids = np.where(length == 1, v.single[codes[s]], v.ids[edge[s, length]])
+    edges = Edges(codes, v)
+    s, length = relax(edges, starts, ends)
+    ids = np.where(length == 1, v.single[codes[s]], v.ids[edges.piece(s, length)])
     which = np.searchsorted(ends, s, "right")
     if (ids < 0).any():  # characters outside the vocabulary, as the bytes of their UTF-8 form
         rows = [v.bytes[list(chr(points[p]).encode())] if i < 0 else [i] for i, p in zip(ids.tolist(), s.tolist())]
@@ -234,7 +326,8 @@ def encode(docs: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCA
 
     The ids equal those of the public library for the same .model file. Null and empty texts have no tokens. A mark U+2581 in
     a text decodes to a space, as in the library. Rows are independent; a task handles BATCH_CHARS characters at a time, or
-    one longer text, and indexes INDEX_CHARS characters of distinct words at a time. No shuffle.
+    one longer text, and indexes INDEX_CHARS characters of distinct words at a time; a word of any length takes time in
+    proportion to n log n. Columns named like the three new ones are an error. No shuffle.
     """
     schema = T.StructType([*docs.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_n_tokens", T.LongType()), T.StructField("_round_trip", T.BooleanType())])
     return docs.mapInArrow(_coder(f"{tokenizers}/{vocabulary}"), schema)
