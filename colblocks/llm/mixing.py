@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.blocks import with_row_id
 from .common import Scratch
 
-#: Hash buckets in which the last, fractional repetition of a source looks for its boundary.
-BUCKETS = 4096
+#: Bits of a step of the search for the boundary of a source's last, fractional repetition, and steps: 2^24 buckets in all.
+STEP_BITS, STEPS = 12, 2
 
 
 def n_words(text: str = "text"):
@@ -23,9 +24,9 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights=(5, 2, 1), max_ep
     The sums of a round are single numbers, so the driver holds no list of sources; a source clamped once stays clamped.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # The rank needs one order over all sources: one row each, already summed.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
+    # One order over all sources, already summed to a row each: by ranges, since there may be as many as hosts.
+    by = with_row_id(by.withColumn("_none", F.col("source").isNull()), "_none", "source")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("row_id", F.lit(len(weights))) + 1).cast("int"))
     cap = (F.col("source_size") * max_epochs).cast("double")
     by = scratch.stage(by.select("source", "source_size", weight.alias("w"), cap.alias("cap")), "sources")
     total, w_all = by.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("double"), F.coalesce(F.sum("w"), F.lit(0.0))).head()
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights=(5, 2, 1), max_ep
 def _marked(docs: DataFrame, size, seed: int) -> DataFrame:
     """_size, the seeded place _u of a document in the order of its source, and the bucket _b of that place."""
     out = docs.withColumns({"_size": size, "_u": F.xxhash64(F.lit(seed), "doc_id", "text")})
-    return out.withColumn("_b", F.shiftrightunsigned("_u", 52).cast("int"))
+    return out.withColumn("_b", F.shiftrightunsigned("_u", 64 - STEP_BITS * STEPS))
 
 
 def _plan(marked: DataFrame, scratch: Scratch, weights, max_epochs: int) -> DataFrame:
@@ -51,11 +52,16 @@ def _plan(marked: DataFrame, scratch: Scratch, weights, max_epochs: int) -> Data
     targets = source_targets(marked.select("source", F.col("_size").alias("size")), scratch, weights, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     targets = scratch.stage(targets.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "targets")
-    hist = marked.groupBy("source", "_b").agg(F.sum("_size").alias("s"))
-    hist = hist.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("_b")) - F.col("s"))
-    hist = hist.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    cut = hist.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("s") >= F.col("rest"))).select(F.col("source").alias("_s"), F.col("_b").alias("cut"), "before")
-    per = targets.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left")
+    # Bucket by bucket: of a source's 2^STEP_BITS sums the one in which the rest ends, then the same within that bucket.
+    rows, at = marked.select("source", "_b", "_size"), targets.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("before"), "rest")
+    for step in range(STEPS):
+        shift = STEP_BITS * (STEPS - 1 - step)
+        own = rows.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright("_b", shift + STEP_BITS) == F.col("cut")))
+        hist = own.groupBy("source", F.shiftright("_b", shift).alias("b"), "before", "rest").agg(F.sum("_size").alias("s"))
+        hist = hist.withColumn("ahead", F.col("before") + F.sum("s").over(Window.partitionBy("source").orderBy("b")) - F.col("s"))
+        ends = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("s") >= F.col("rest"))
+        at = scratch.stage(hist.where(ends).select(F.col("source").alias("_s"), F.col("b").alias("cut"), F.col("ahead").alias("before"), "rest"), f"cut{step}")
+    per = targets.join(at.drop("rest"), F.col("source").eqNullSafe(F.col("_s")), "left")
     return scratch.stage(per.select(*[F.col(c).alias(f"_p_{c}") for c in ("source", "source_size", "target", "whole", "rest", "cut", "before")]), "plan")
 
 
@@ -80,8 +86,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, seed: int = 17,
     ``max_epochs`` times its size, and reruns agree. Null or empty texts have size 0; a null source is a source of its own.
     Rows alike in all columns are interchangeable: which of them the boundary cuts is arbitrary, the set of rows is not.
 
-    The boundary is found by a histogram of BUCKETS hash buckets per source (combined before its shuffle); only documents of
-    the one bucket that holds it are put in order. Texts are never shuffled. The plan has a row per source; Spark checks
+    The boundary is found by histograms of hash buckets per source (combined before their shuffle), in two steps down to one of
+    2^24 buckets; only the documents of that bucket are put in order. Columns of ``docs`` named like the working columns, which
+    begin with an underscore, are an error. Texts are never shuffled. The plan has a row per source; Spark checks
     its size before it broadcasts it and else splits hot sources.
     """
     scratch = Scratch(docs.sparkSession, "mix")
