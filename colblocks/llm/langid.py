@@ -84,25 +84,28 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "counts"])
 
 
-def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float = 0.6, seed: int = 5) -> Centroids | None:
-    """Fit on at most about ``per_lang`` rows of ``docs(doc_id, text, lang)`` per language (a hash sample; the model's only bound).
+def fit(docs: DataFrame, per_lang: int = 400, clusters: int = 4, slack: float = 0.6, seed: int = 5, max_langs: int = 256, max_rows: int = 12_000) -> Centroids | None:
+    """Fit on at most about ``per_lang`` rows of ``docs(doc_id, text, lang)`` per language, ``max_rows`` in all, a hash sample, of the
+    ``max_langs`` most frequent languages (the model's bounds: its size and what reaches the driver don't grow with the corpus).
 
     Rows with a null text or lang or without a letter are not learned from. A text is rejected if its cosine is under
     ``slack`` times the least that sampled texts of its size class (power of two of n-grams) reach; a class with fewer than
     FLOOR_SAMPLES of them goes by the next smaller one, the smallest rejects none. None if nothing can be learned from.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not sizes:
         return None
-    rate = F.lit(1.0)
+    per_lang = max(1, min(per_lang, max_rows // len(sizes)))
+    rate = F.lit(0.0)
     for lang, n in sizes.items():
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(rate)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / float(1 << 53)
+    place = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+    u = F.shiftrightunsigned(place, 11) / float(1 << 53)
     got = rows.where(u < rate).mapInArrow(_count_rows, "doc_id long, lang string, counts binary").collect()
     got.sort(key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["counts"]))
     if not got:
-        got = rows.limit(per_lang).mapInArrow(_count_rows, "doc_id long, lang string, counts binary").collect()
+        got = rows.where(F.col("lang").isin(*sizes)).orderBy(place).limit(per_lang).mapInArrow(_count_rows, "doc_id long, lang string, counts binary").collect()
     counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in got])
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
     langs = sorted({r["lang"] for r in got})
@@ -154,7 +157,7 @@ def identify(docs: DataFrame, train: DataFrame | None = None, **fit_options) ->
 
     Learns from ``train`` (by default those of ``docs`` that aren't held out). 'und' with score 0, rejected, if the text
     is null or has no letter (category L), or if nothing could be learned. Whole texts are read; rows are independent, so ties and repeats
-    get equal answers. No shuffle: the model (languages x clusters x DIMS floats) travels with the tasks.
+    get equal answers. Columns of ``docs`` named like the three new ones are an error. No shuffle: the model (languages x clusters x DIMS floats) travels with the tasks.
     """
     from pyspark.sql import types as T
 
