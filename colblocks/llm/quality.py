@@ -7,7 +7,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, Scratch, ranges
@@ -17,7 +17,7 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "piece_bpe_32k.model"
 SYMBOLS = "#*$%&|<>"
 #: Words kept tokenised within a task.
 CACHE_WORDS = 400_000
-#: The scripts told apart and the first and last code point of their main blocks.
+#: The scripts told apart and the first and last code point of their main blocks.
 SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF), ("hangul", 0xAC00, 0xD7AF)]
 
 SQL_SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
@@ -125,24 +125,48 @@ def _measurer(model_file: str):
     return run
 
 
+#: Measures of a band and the width of the steps in which their quartiles are told.
+MEASURES = {"chars_per_token": 1 / 1024, "byte_share": 1 / 65_536, "entropy": 1 / 1024}
+
+
+def bands(measures: DataFrame, reach: float) -> DataFrame:
+    """(script, <measure>_low, <measure>_high): the quartiles of each measure widened by ``reach`` times their distance.
+
+    Quartiles come from counts of steps of MEASURES, so they are exact to a step, the same in every run, and no more than some
+    thousand rows a script.
+    """
+    steps = F.array(*[F.struct(F.lit(m).alias("m"), F.floor(F.col(m) / w).alias("step")) for m, w in MEASURES.items()])
+    counts = measures.select("script", F.explode(steps).alias("s")).groupBy("script", "s.m", "s.step").agg(F.count(F.lit(1)).alias("c"))
+    own = Window.partitionBy("script", "m")
+    counts = counts.withColumns({"upto": F.sum("c").over(own.orderBy("step")), "n": F.sum("c").over(own)})
+    quart = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("n"), F.col("step")))
+    quarts = counts.groupBy("script", "m").agg(quart(1).alias("q1"), quart(3).alias("q3"))
+    at = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c))) * MEASURES[m]
+    wide = lambda m: reach * (at(m, "q3") - at(m, "q1"))
+    rest = [at(m, "q1") - wide(m) for m in MEASURES], [at(m, "q3") + (F.greatest(F.lit(0.05), wide(m)) if m == "byte_share" else wide(m)) for m in MEASURES]
+    return quarts.groupBy("script").agg(*[c.alias(f"{m}_{side}") for side, cs in zip(("low", "high"), rest) for m, c in zip(MEASURES, cs)])
+
+
 def quality(docs: DataFrame, tokenizers: str = TOKENIZERS, reach: float = 4.0, min_words: int = 10, max_repeat_percent: int = 20, min_tokens: int = 50) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: counts, token measures, base_failed, band_failed, kept.
 
     The public vocabulary in ``tokenizers`` gives characters per token, the share of byte-fallback tokens and the entropy of the
-    tokens. Bands are fitted per script on all documents with ``min_tokens`` tokens: the quartiles widened by ``reach`` times
-    their distance. A document leaves its band by too few characters per token, too many byte tokens or too low an
-    entropy; texts under ``min_tokens`` tokens say too little and are judged by the base rules alone. There are as many bands as SCRIPTS,
-    so they are broadcast. Null or empty texts have zero counts, null measures and fail. Rows are independent.
+    tokens. Bands are fitted per script on all documents with ``min_tokens`` tokens (see ``bands``). A document leaves its band
+    by too few or too many characters per token, too many byte tokens or too low or too high an entropy; texts under ``min_tokens``
+    tokens say too little and are judged by the base rules alone. There are as many bands as SCRIPTS, so they are broadcast. Null
+    or empty texts have zero counts, null measures and fail. Rows are independent, repeats included; other columns are left out, so
+    none can clash.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     m = scratch.stage(docs.select("doc_id", "text").mapInArrow(_measurer(f"{tokenizers}/{VOCABULARY}"), SQL_SCHEMA), "measures")
-    quart = lambda c: F.percentile_approx(c, [0.25, 0.75], 1000)
-    bands = m.where(F.col("n_tokens") >= min_tokens).groupBy("script").agg(quart("chars_per_token").alias("c"), quart("byte_share").alias("b"), quart("entropy").alias("e"))
-    low = lambda q: q[0] - reach * (q[1] - q[0])
-    bands = bands.select("script", low(F.col("c")).alias("_c"), (F.col("b")[1] + F.greatest(F.lit(0.05), reach * (F.col("b")[1] - F.col("b")[0]))).alias("_b"), low(F.col("e")).alias("_e"))
+    own = bands(m.where(F.col("n_tokens") >= min_tokens), reach)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    off = (F.col("chars_per_token") < F.col("_c")) | (F.col("byte_share") > F.col("_b")) | (F.col("entropy") < F.col("_e"))
-    out = m.join(F.broadcast(bands), "script", "left").withColumns({"base_failed": failed, "band_failed": F.coalesce((F.col("n_tokens") >= min_tokens) & off, F.lit(False))})
+    off = F.lit(False)
+    for c in MEASURES:
+        off = off | (F.col(c) > F.col(f"{c}_high"))
+        if c != "byte_share":
+            off = off | (F.col(c) < F.col(f"{c}_low"))
+    out = m.join(F.broadcast(own), "script", "left").withColumns({"base_failed": failed, "band_failed": F.coalesce((F.col("n_tokens") >= min_tokens) & off, F.lit(False))})
     return out.select(*_NAMES, "base_failed", "band_failed", (~F.col("base_failed") & ~F.col("band_failed")).alias("kept"))
 
 
