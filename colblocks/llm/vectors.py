@@ -30,6 +30,7 @@ class GraphOptions:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -83,10 +84,10 @@ def fit_book(vectors: DataFrame, n: int, o: GraphOptions) -> np.ndarray:
     """Centroids of the cells, so many that a cell holds about ``shard`` vectors."""
     k = max(1, min(o.books, math.ceil(n / o.shard)))
     sample = max(o.sample, 8 * k)
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "id"), 11) / float(1 << 53)
-    rows = vectors.where(u <= min(1.0, sample / max(n, 1))).select("id", "embedding").limit(2 * sample).toArrow().sort_by("id")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "k1", "k2"), 11) / float(1 << 53)
+    rows = vectors.where(u <= min(1.0, sample / max(n, 1))).select("k1", "embedding").limit(2 * sample).toArrow().sort_by("k1")
     if not len(rows):  # a sample of a few vectors may come out empty
-        rows = vectors.select("id", "embedding").limit(k).toArrow()
+        rows = vectors.orderBy("k1", "k2").select("k1", "embedding").limit(k).toArrow()
     return spherical_kmeans(unit(_matrix(rows.column("embedding"))).astype(np.float32), k)
 
 
@@ -177,7 +178,8 @@ def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: f
     The sums of ``others`` (weighted by n) and ``found`` are a vector's links; the edges from id to root connect what is linked. No pair is
     listed, so a group of any size costs rows for its members and the cells they reach.
     """
-    placed = classes.select("id", "n", "embedding").mapInArrow(_assigner(book, reach), "id long, n long, embedding array<float>, home int, cells array<int>")
+    kind = dict(classes.dtypes)["embedding"]
+    placed = classes.select("id", "n", "embedding").mapInArrow(_assigner(book, reach), f"id long, n long, embedding {kind}, home int, cells array<int>")
     placed = scratch.stage(placed, "cells")
     rows = placed.select("id", "n", "embedding", "home", "cells", F.explode("cells").alias("cell"))
     member = F.col("home") == F.col("cell")
@@ -195,12 +197,18 @@ def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: f
     return scratch.stage(rows.select("*", "task.i", "task.j").drop("task").groupBy("cell", "i", "j").applyInArrow(_counter(threshold), "id long, others long, found long, root long"), "found")
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, o: GraphOptions) -> float:
-    """Share of the true links of about ``audit`` hash-sampled vectors, counted by brute force over all, that ``found`` counts."""
+def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, o: GraphOptions) -> float | None:
+    """Share of the true links of about ``audit`` vectors, counted by brute force over all, that ``found`` counts; None if they have none.
+
+    Half of the vectors are hash-sampled of all, so that lost links show, and half of those with links, so that there are some to count.
+    """
     u = F.shiftrightunsigned(F.xxhash64(F.lit(29), "id"), 11) / float(1 << 53)
-    probe = classes.where(u <= min(1.0, o.audit / max(n, 1))).select("id", "embedding").limit(2 * o.audit).toArrow()
+    share = lambda rows, m: rows.where(u <= min(1.0, o.audit / 2 / max(m, 1))).select("id").limit(o.audit)
+    linked = found.where("found > 0").select("id").distinct()
+    wanted = share(classes, n).unionByName(share(linked, linked.count())).distinct()  # 2 * audit ids at most
+    probe = classes.select("id", "embedding").join(F.broadcast(wanted), "id", "left_semi").toArrow()
     if not len(probe):
-        return 1.0
+        return None
     ids, p = probe.column("id").to_numpy(), unit(_matrix(probe.column("embedding")))
 
     def run(batches):
@@ -214,7 +222,7 @@ def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float,
     true = classes.select("id", "embedding").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     got = true.join(found.groupBy("id").agg(F.sum("found").alias("found")), "id", "left")
     total, good = got.agg(F.sum("true"), F.sum(F.coalesce("found", F.lit(0)))).head()
-    return good / total if total else 1.0
+    return good / total if total else None
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOptions | None = None) -> DataFrame:
@@ -223,19 +231,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     Vectors link if their cosine in double precision is ``threshold`` or more. Null, empty or zero vectors and such with null or
     non-finite components link with nothing, nor do vectors of different lengths. Equal vectors are one node of
     the graph, weighted by their number, so copies cost nothing however many there are. A null vec_id is counted as a link
-    but never names a component that has another. ``recall`` is the audited share of true links between distinct vectors; it is the
-    options' ``recall`` at least, or else the search is done again as far as any link can reach, and raises if that doesn't help.
+    but never names a component that has another; rows that share a vec_id are vectors of their own. ``recall`` is the audited share of
+    true links between distinct vectors, null where the audit met none; it is the options' ``recall`` at least, or else the search is done again as far as any link can reach, and raises if that doesn't help.
     """
     o = options or GraphOptions()
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    e = F.col("embedding").cast("array<float>")
+    # Single precision stays as it is; all else is compared in double.
+    e = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     fine = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     fine = F.coalesce(fine, F.lit(False))
     keyed = vectors.select("vec_id", e.alias("embedding"), fine.alias("fine"))
     keyed = keyed.withColumns({"k1": F.when(F.col("fine"), F.xxhash64("embedding")), "k2": F.when(F.col("fine"), F.xxhash64(F.lit(1), "embedding"))})
     classes = keyed.where("fine").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"), F.any_value("embedding").alias("embedding"))
-    classes = scratch.stage(classes.withColumn("id", F.coalesce(F.col("first"), F.col("k1"))), "classes")
+    classes = scratch.stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # a node's own number, fixed once written
     found, recalls = None, []
     for length, n in sorted(tuple(r) for r in classes.groupBy(F.size("embedding")).count().collect()):
         own = classes.where(F.size("embedding") == length)
@@ -243,7 +252,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
         for reach in sorted({likely_reach(threshold, length, o), sure_reach(threshold)}):
             part = count_links(own, book, threshold, reach, scratch, o)
             recalls.append(audit_recall(own, part, n, threshold, o))
-            if recalls[-1] >= o.recall:
+            if recalls[-1] is None or recalls[-1] >= o.recall:
                 break
             scratch.drop(part)
             recall = recalls.pop()
@@ -263,8 +272,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     total = named.agg(F.sum("n")).head()[0] or 0
     out = hot_join(keyed.drop("embedding"), named, ["k1", "k2"], "n", total, ["links", "component"], ["vec_id"])
     component = F.coalesce("component", "vec_id")
-    recall = min(recalls, default=1.0)
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(recall).alias("recall"))
+    recall = min((r for r in recalls if r is not None), default=None)
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
