@@ -169,7 +169,8 @@ def test_simhash(spark, edge):
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want and len(got) == len(EDGE)
 
 
-def test_fingerprint_links(spark):
+@pytest.mark.parametrize("crowd", [1, 3, 32])
+def test_fingerprint_links(spark, crowd):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
     fps = {int(b) for b in base}
@@ -180,7 +181,7 @@ def test_fingerprint_links(spark):
             fps.add(b)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     scratch = Scratch(spark, "t")
-    edges = simhash.fingerprint_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), scratch)
+    edges = simhash.fingerprint_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), scratch, crowd)
     roots = {r["node"]: r["root"] for r in components.connected_components(edges, scratch).collect()}
     own = sorted(map(signed, fps))
     want = plain_components(own, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
@@ -272,6 +273,19 @@ def test_vectors_recall(spark, options):
     assert (mine <= want).all() and mine.sum() >= 0.9 * want.sum() and got[0]["recall"] >= 0.9
 
 
+def test_vectors_double_and_repeated_ids(spark):
+    """Doubles stay doubles, large ones don't overflow, and rows that share a vec_id are vectors of their own."""
+    a, c = np.array([1.0, 0.0]), 0.95
+    at = lambda cos: [cos, float(np.sqrt(1 - cos * cos))]
+    rows = [(1, a.tolist()), (2, at(c + 1e-12)), (3, at(-0.5)), (4, (np.array(at(-0.5)) * 1e250).tolist()), (5, [1e-250, -2e-250]), (6, [1.0, -2.0]), (7, at(-0.9))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+    twice = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.001]), (7, [0.001, 1.0])]
+    got = vectors.near_vectors(spark.createDataFrame(twice, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+    assert vectors.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")).head()["recall"] is None
+
+
 def test_vectors_reach():
     """The sure reach covers every link, from either end."""
     rng = np.random.default_rng(10)
@@ -371,6 +385,39 @@ def test_langid(spark, edge, docs):
     assert far["_rejected"]
 
 
+def test_langid_brute_force(spark, docs):
+    """Every prediction and score from n-grams counted in plain Python and cosines in double precision."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(table.where(~langid.held_out_rule()))
+    got = keyed(langid.op6(spark, SF))
+
+    def counts(text):
+        raw, out = f" {text.lower()} ".encode(), np.zeros(langid.DIMS)
+        line = [raw[0]] if not (0x61 <= raw[0] < 0x7B or raw[0] >= 0x80) else [raw[0]]
+        for before, b in zip(raw, raw[1:]):
+            letter, was = (0x61 <= b < 0x7B or b >= 0x80), (0x61 <= before < 0x7B or before >= 0x80)
+            if letter or was:
+                line.append(b if letter else 32)
+        mod = 1 << 32
+        pair = lambda i: (line[i] * 0x9E3779B1 + line[i + 1] * 0x85EBCA77) % mod
+        place = lambda c: ((c ^ (c >> 15)) * 0x2C1B3C6D % mod) >> 20
+        for i in range(len(line) - 1):
+            out[place(pair(i))] += 1
+        for i in range(len(line) - 2):
+            out[place((pair(i) + line[i + 2] * 0xC2B2AE3D) % mod)] += 1
+        return out
+
+    for d, t, *_ in docs:
+        if t is None or not any(c.isalpha() for c in t):
+            assert got[d]["lang_pred"] == "und"
+            continue
+        v = np.log1p(counts(t)) * model.idf.astype(float)
+        cos = model.centroids.astype(float) @ v / np.linalg.norm(v)
+        best = cos.max()
+        assert abs(got[d]["score"] - min(1.0, max(0.0, best))) < 1e-4
+        assert got[d]["lang_pred"] in {model.langs[model.lang_of[i]] for i in np.flatnonzero(cos > best - 1e-5)}
+
+
 @pytest.mark.parametrize("part_bytes, cuts", [(300, 4096), (300, 3), (1 << 20, 4096)])
 def test_repeats(spark, edge, part_bytes, cuts):
     rows = [(d, None if t is None else t[:3000]) for d, t, *_ in EDGE]
@@ -462,6 +509,44 @@ def test_quality(spark, edge, docs):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain_quality(t)
 
 
+def test_quality_brute_force(spark, docs):
+    """Token measures, quartiles, bands and the verdict from a plain tokenisation of every text."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=f"{quality.TOKENIZERS}/{quality.VOCABULARY}")
+    got, again = keyed(quality.op10(spark, SF)), keyed(quality.op10(spark, SF))
+    assert {d: tuple(r) for d, r in got.items()} == {d: tuple(r) for d, r in again.items()}
+    own = {}
+    for d, t, *_ in docs:
+        tokens = [i for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") for i in sp.encode(w)]
+        if tokens:
+            p = np.array(list(collections.Counter(tokens).values())) / len(tokens)
+            own[d] = (len(tokens), sum(c not in BLANKS for c in t) / len(tokens), sum(map(sp.is_byte, tokens)) / len(tokens), float(-(p * np.log2(p)).sum()))
+        r = got[d]
+        assert r["n_tokens"] == (own[d][0] if d in own else 0)
+        if d in own:
+            assert np.allclose([r["chars_per_token"], r["byte_share"], r["entropy"]], own[d][1:])
+    edges = {}
+    for script in {r["script"] for r in got.values()}:
+        rows = [own[d] for d, r in got.items() if r["script"] == script and d in own and own[d][0] >= 50]
+        for i, (m, w) in enumerate(quality.MEASURES.items()):
+            steps = sorted(int(np.floor(r[i + 1] / w + 1e-9)) for r in rows)
+            if steps:
+                q1, q3 = (steps[-(-len(steps) * q // 4) - 1] * w for q in (1, 3))
+                edges[script, m] = q1 - 4 * (q3 - q1), q3 + max(0.05 if m == "byte_share" else 0, 4 * (q3 - q1))
+    for d, r in got.items():
+        off = d in own and own[d][0] >= 50 and any(own[d][i + 1] > edges[r["script"], m][1] or (m != "byte_share" and own[d][i + 1] < edges[r["script"], m][0]) for i, m in enumerate(quality.MEASURES))
+        assert r["kept"] == (not r["base_failed"] and not off)
+
+
+def test_simhash_and_repeats_whole_table(spark, docs):
+    got = keyed(simhash.op2(spark, SF))
+    fps = {d: plain_fingerprint(t) for d, t, *_ in docs}
+    assert {d: int(r["fingerprint"], 16) for d, r in got.items()} == fps
+    assert {d: r["component_id"] for d, r in got.items()} == plain_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    assert sorted(tuple(r) for r in substrings.op7(spark, SF).collect()) == sorted(plain_repeats([(d, t) for d, t, *_ in docs]))
+
+
 def test_repeat_words():
     rng = np.random.default_rng(4)
     for base in (2, 5, 1 << 20):
