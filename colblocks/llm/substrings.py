@@ -19,6 +19,8 @@ from .common import ranges
 WINDOW, GRAM, HASH_BITS = 50, 24, 46
 #: Bytes that multikey quicksort orders before blind tries take over.
 SHALLOW = 16
+#: Runs under one key, over all parts, that a bucket takes; the windows of a key with more are dealt over several by a hash of their bytes.
+HOT_RUNS = 4096
 OFF = np.uint64((1 << 64) - 1)
 
 
@@ -28,7 +30,8 @@ OFF = np.uint64((1 << 64) - 1)
 def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group) of the suffixes at ``starts`` by their first ``depth`` bytes; equal ones share a group number.
 
-    A key of the sort is a word of eight bytes; after a word only groups of two or more are sorted by the next.
+    Multikey sorting with words of eight bytes in place of characters: numpy orders a level of all groups at once, where a quicksort
+    would split them one by one; after a word only groups of two or more are sorted by the next.
     """
     words = sliding_window_view(data, 8)
     order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
@@ -49,8 +52,7 @@ def blind_trie_sort(data: np.ndarray, starts: np.ndarray, order: np.ndarray, gro
     """Order the groups that agree on their first ``at`` bytes up to ``depth``; changes ``order`` and ``group``.
 
     The tries of all groups grow level by level. A node looks for the first byte at which any of its strings leaves the
-    node's first one; all bytes before are skipped unread by the levels below. There it branches; a node without
-    such a byte is a leaf of equal strings.
+    node's first one. There it branches, on that byte alone; a node without such a byte is a leaf of equal strings.
     """
     tails = sliding_window_view(data, depth - at)
     first = np.ones(len(group), bool)
@@ -170,20 +172,27 @@ class Part:
         fits = first < (self.at + count)[doc] if len(self.at) else np.zeros(len(first), bool)
         return first[fits], windows[fits], doc[fits], key[first[fits]]
 
-    def segments(self, shared: np.ndarray, bits: int):
+    def segments(self, shared: np.ndarray, split: np.ndarray, bits: int):
         """Distinct strings of the runs with shared keys: per run its segment; per segment start, windows, bucket, least rank.
 
-        Segments are numbered by bucket, then by first appearance.
+        A key with a ``split`` of s > 0 has its windows one by one, dealt over 2^s buckets of their own by their bytes. Segments are
+        numbered by bucket, then by first appearance.
         """
         start, windows, doc, key = self.runs()
         at = np.minimum(np.searchsorted(shared, key), max(len(shared) - 1, 0))
         hit = shared[at] == key if len(shared) else np.zeros(len(key), bool)
-        start, windows, doc, key = start[hit], windows[hit], doc[hit], key[hit]
+        start, windows, doc, key, parted = start[hit], windows[hit], doc[hit], key[hit], split[at[hit]].astype(np.int64) if len(shared) else np.zeros(0, np.int64)
+        n = np.where(parted > 0, windows, 1)
+        start = ranges(start, n)
+        doc, key, parted, windows = np.repeat(doc, n), np.repeat(key, n), np.repeat(parted, n), np.repeat(np.where(parted > 0, 1, windows), n)
         seen: dict[bytes, int] = {}
         raw = self.data.tobytes()
         of = np.fromiter((seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(start.tolist(), (windows + WINDOW - 1).tolist())), np.int64, len(start))
         _, first = np.unique(of, return_index=True)
         bucket = (key[first] >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+        hot = np.flatnonzero(parted[first] > 0)
+        own = window_hashes(self.data, start[first[hot]]) & ((1 << parted[first[hot]]) - 1)
+        bucket[hot] += (own + 1) << 32
         order = np.argsort(bucket, kind="stable")
         number = np.empty_like(order)
         number[order] = np.arange(len(order))
@@ -191,6 +200,16 @@ class Part:
         return (start, windows, doc, number[of] if len(of) else of), (start[first], windows[first], bucket[order], self.rank[doc[first]], key[first])
 
 
+def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A small hash of all bytes of each window."""
+    weights = np.random.default_rng(23).integers(1, 1 << 62, WINDOW, dtype=np.uint64) | np.uint64(1)
+    out = np.empty(len(starts), np.int64)
+    for a in range(0, len(starts), 1 << 16):
+        rows = sliding_window_view(data, WINDOW)[starts[a : a + (1 << 16)]].astype(np.uint64)
+        out[a : a + (1 << 16)] = ((rows * weights).sum(axis=1, dtype=np.uint64) >> np.uint64(32)).astype(np.int64)
+    return out
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted hashes as differences of four bytes, or eight if one doesn't fit."""
     step = np.diff(keys, prepend=np.uint64(0))
@@ -213,13 +232,13 @@ def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table
     return pa.table({name: pa.array(c, t) for c, (name, t) in zip(cols, fields)})
 
 
-#: What parts and buckets of hashes send each other: hashes, and a payload beside them.
-LETTER = "part int, bucket int, keys binary, body binary"
-_LETTER = [("part", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("body", pa.binary())]
+#: What parts and buckets of hashes send each other: hashes, a byte about each, and a payload.
+LETTER = "part int, bucket long, keys binary, marks binary, body binary"
+_LETTER = [("part", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("marks", pa.binary()), ("body", pa.binary())]
 
 
 def _offer(bits: int):
-    """part -> its distinct keys by bucket; the body flags those that two documents of the part hold."""
+    """part -> its distinct keys by bucket; marks count a key's runs, up to 127, and flag those that two documents of the part hold."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         part = Part(table)
@@ -231,9 +250,10 @@ def _offer(bits: int):
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(keys)) - 1
         several = rank[first] != rank[last] if len(first) else np.zeros(0, bool)
-        rows, at = [], 0
+        marks = np.minimum(last - first + 1, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
+        rows, at, zstd = [], 0, zstandard.ZstdCompressor(level=1)
         for bucket, own in by_bucket(keys[first], bits):
-            rows.append((key[0].as_py(), bucket, pack_sorted(own), np.packbits(several[at : at + len(own)]).tobytes()))
+            rows.append((key[0].as_py(), bucket, pack_sorted(own), zstd.compress(marks[at : at + len(own)].tobytes()), None))
             at += len(own)
         return _arrow(rows, _LETTER)
 
@@ -241,24 +261,33 @@ def _offer(bits: int):
 
 
 def _share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """bucket -> for each part those of its keys that another part, or two documents, hold."""
+    """bucket -> for each part those of its keys that another part, or two documents, hold; marks tell how the key is split."""
+    zstd = zstandard.ZstdDecompressor()
     parts, keys = table.column("part").to_pylist(), [unpack_sorted(b) for b in table.column("keys").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool) for k, b in zip(keys, table.column("body").to_pylist())]
-    every = np.sort(np.concatenate(keys))
-    twice = np.concatenate([every[1:][every[1:] == every[:-1]], *[k[s] for k, s in zip(keys, several)]])
-    twice = np.unique(twice)
+    marks = [np.frombuffer(zstd.decompress(b), np.uint8) for b in table.column("marks").to_pylist()]
+    every, mark = np.concatenate(keys), np.concatenate(marks)
+    order = np.argsort(every, kind="stable")
+    every, mark = every[order], mark[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    twice = (np.diff(np.append(first, len(every))) > 1) | (np.maximum.reduceat(mark, first) > 127) if len(first) else np.zeros(0, bool)
+    held = np.add.reduceat((mark & 127).astype(np.int64), first)[twice] if len(first) else np.zeros(0, np.int64)
+    twice = every[first][twice]
+    split = np.ceil(np.log2(np.maximum(held / HOT_RUNS, 1))).astype(np.uint8)
     rows = []
     for part, own in zip(parts, keys):
         at = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))
-        got = own[twice[at] == own] if len(twice) else own[:0]
-        if len(got):
-            rows.append((part, key[0].as_py(), pack_sorted(got), None))
+        hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
+        if hit.any():
+            rows.append((part, key[0].as_py(), pack_sorted(own[hit]), split[at[hit]].tobytes(), None))
     return _arrow(rows, _LETTER)
 
 
-def _shared_of(table: pa.Table) -> np.ndarray:
-    got = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
-    return np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, their splits), sorted by key."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_sorted(b) for b in table.column("keys").to_pylist()]])
+    split = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(b, np.uint8) for b in table.column("marks").to_pylist()]])
+    keys, first = np.unique(keys, return_index=True)  # a split key comes from several buckets
+    return keys, split[first]
 
 
 def _ask(bits: int):
@@ -268,14 +297,16 @@ def _ask(bits: int):
         if not docs.num_rows or not shared.num_rows:
             return _arrow([], _LETTER)
         part, zstd = Part(docs), zstandard.ZstdCompressor(level=1)
-        _, (start, windows, bucket, _, keys) = part.segments(_shared_of(shared), bits)
+        known, split = _shared_of(shared)
+        _, (start, windows, bucket, _, keys) = part.segments(known, split, bits)
         rows = []
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
         for a, b in zip(first, np.append(first, len(bucket))[1:].astype(int)):
             n = windows[a:b]
             text = part.data[ranges(start[a:b], n + WINDOW - 1)].tobytes()
             body = zstd.compress(np.array([len(n)], np.uint32).tobytes() + n.astype(np.uint32).tobytes() + text)
-            rows.append((key[0].as_py(), int(bucket[a]), pack_sorted(np.unique(keys[a:b])), body))
+            own = np.unique(keys[a:b])
+            rows.append((key[0].as_py(), int(bucket[a]), pack_sorted(own), split[np.searchsorted(known, own)].tobytes(), body))
         return _arrow(rows, _LETTER)
 
     return run
@@ -298,7 +329,7 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     of = np.concatenate(parts)
     earlier = least_of_equal(data, np.concatenate(starts), of) < of
     bits = [np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum(counts)[:-1])]
-    rows = list(zip(table.column("part").to_pylist(), [key[0].as_py()] * len(bits), table.column("keys").to_pylist(), bits))
+    rows = list(zip(table.column("part").to_pylist(), [key[0].as_py()] * len(bits), table.column("keys").to_pylist(), table.column("marks").to_pylist(), bits))
     return _arrow(rows, _LETTER)
 
 
@@ -315,10 +346,11 @@ def _remove(bits: int, keep_bytes: bool):
         part = Part(docs)
         cover = np.zeros(len(part.data) + 1, np.int32)
         if answers.num_rows:
-            (start, windows, doc, number), (s_start, s_windows, s_bucket, s_rank, _) = part.segments(_shared_of(answers), bits)
-            size = np.bincount(s_bucket, weights=s_windows).astype(int) if len(s_bucket) else []
+            (start, windows, doc, number), (s_start, s_windows, s_bucket, s_rank, _) = part.segments(*_shared_of(answers), bits)
             by = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist()))
-            earlier = [np.unpackbits(np.frombuffer(by[b], np.uint8), count=int(size[b])) for b in np.unique(s_bucket).tolist()]
+            buckets, first = np.unique(s_bucket, return_index=True)  # segments are in the order of their buckets
+            size = np.add.reduceat(s_windows, first) if len(first) else first
+            earlier = [np.unpackbits(np.frombuffer(by[b], np.uint8), count=n) for b, n in zip(buckets.tolist(), size.tolist())]
             rank = np.repeat(s_rank, s_windows)
             rank = np.where(np.concatenate(earlier).astype(bool), -1, rank) if earlier else rank
             least = least_of_equal(part.data, ranges(s_start, s_windows), rank)
@@ -339,6 +371,19 @@ def _remove(bits: int, keep_bytes: bool):
     return run
 
 
+def part_numbers(held: list[int], part_bytes: int) -> tuple[list[int], list[int]]:
+    """(first part, number of parts) of each range by its bytes: small neighbours share a part, a large one has several to itself."""
+    first, pieces, part, fill = [], [], 0, 0
+    for b in held:
+        if fill and fill + b > part_bytes:
+            part, fill = part + 1, 0
+        own = max(1, math.ceil(b / part_bytes))
+        first.append(part)
+        pieces.append(own)
+        part, fill = (part + own - 1, b) if own == 1 else (part + own, 0)
+    return first, pieces
+
+
 def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 19, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs(doc_id, text)``.
 
@@ -346,30 +391,34 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 19, bucket_bytes: int
     bytes; null and empty texts have none and texts under 50 bytes lose none. Rows that share a doc_id don't remove from each
     other; a null doc_id counts as smaller than all others.
 
-    The corpus is cut into parts, ranges of doc_id of about ``part_bytes``; and the hashes into as many buckets as the
-    corpus has ``bucket_bytes``. Five steps:
+    The corpus is cut into parts, ranges of doc_id of about ``part_bytes`` and of a document at least, which is never cut; and the
+    hashes into as many buckets as the corpus has ``bucket_bytes``. Five steps:
     1. A part offers the distinct keys of its windows (the least hash of a window's grams).
     2. A bucket names the keys that more than one document has; windows under other keys are unique, so none is missed.
     3. A part sends each distinct string under its shared keys once, however many copies it holds.
     4. A bucket sorts these windows as suffixes, deep-shallow, and tells each part which of its windows earlier parts have.
     5. A part sorts its own windows likewise, joins both answers and removes what they cover.
     Texts are shuffled once (the exchange by part is used three times). A string in a third of all documents reaches its
-    bucket once a part; no group is collected, and parts and buckets are bounded by their size parameters.
+    bucket once a part. Around the ends of a passage that many documents share their strings differ, though one key has them all: a
+    key with more than HOT_RUNS runs has its windows dealt over buckets of their own by a hash of their bytes, which equal windows
+    share. Columns other than the two are left out, so none can clash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total, n, low, high = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).head()
-    count = max(1, math.ceil(total / part_bytes))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total, n, low, high = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).head()
     bits = max(1, math.ceil(total / bucket_bytes).bit_length())
-    tops = min(count, max_cuts)
+    # Ranges of doc_id with about as many documents each; their bytes are summed, and ranges are joined to parts or cut into several.
+    tops = max(1, min(4 * math.ceil(total / part_bytes), max_cuts))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / tops for i in range(1, tops)], 20 * tops)).head()[0] if tops > 1 and n else []
     inner = sorted({float(c) for c in cuts or []} - {float(low or 0)})
     d = docs.withColumn("_d", F.coalesce("doc_id", F.lit(low or 0)).cast("double"))
     d = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol="_d", outputCol="_p").transform(d) if inner else d.withColumn("_p", F.lit(0.0))
-    part, fine = F.col("_p").cast("int"), math.ceil(count / tops)
-    if fine > 1:  # beyond the cuts, a range is divided evenly by doc_id
-        edges = [float(low or 0), *inner, float(high or 0) + 1]
-        at = lambda i: F.get(F.array(*map(F.lit, edges)), i)
-        part = part * fine + F.least(F.lit(fine - 1), F.floor((F.col("_d") - at(part)) / (at(part + 1) - at(part)) * fine)).cast("int")
+    held = {int(r["_p"]): r["b"] for r in d.groupBy("_p").agg(F.sum(size).alias("b")).collect()}  # a sum for each of ``max_cuts`` ranges at most
+    edges = [float(low or 0), *inner, float(high or 0) + 1]
+    first, pieces = part_numbers([held.get(i, 0) for i in range(len(inner) + 1)], part_bytes)
+    of = lambda values: F.get(F.lit(values), F.col("_p").cast("int"))
+    inside = (F.col("_d") - of(edges[:-1])) / (of(edges[1:]) - of(edges[:-1]))  # a range too large for a part is divided evenly by doc_id
+    part = (of(first) + F.greatest(F.lit(0), F.least(of(pieces) - 1, F.floor(inside * of(pieces))))).cast("int")
     parts = d.select(part.alias("part"), "doc_id", "text")
     by_part = parts.groupBy("part")
     shared = by_part.applyInArrow(_offer(bits), LETTER).groupBy("bucket").applyInArrow(_share, LETTER)

@@ -426,6 +426,23 @@ def test_repeats(spark, edge, part_bytes, cuts):
     assert sorted(map(repr, got)) == sorted(map(repr, plain_repeats(rows)))
 
 
+def test_repeats_hot_passage(spark, monkeypatch):
+    """The windows around a passage that most documents share, under one key but unlike, are split over buckets."""
+    monkeypatch.setattr(substrings, "HOT_RUNS", 4)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 9))
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i, " ".join(word() for _ in range(8)) + passage + (" ".join(word() for _ in range(8)) if i % 3 else rows_end) if i % 7 else word() * 30) for i in range(90) for rows_end in ["the same end of every third of these texts, and a long one"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part_bytes in (500, 5000):
+        assert sorted(tuple(r) for r in substrings.remove_repeats(df, part_bytes, 400, keep_bytes=False).drop("kept").collect()) == sorted(plain_repeats(rows))
+
+
+def test_part_numbers():
+    first, pieces = substrings.part_numbers([3, 3, 3, 25, 0, 4, 10, 1], 10)
+    assert (first, pieces) == ([0, 0, 0, 1, 4, 4, 5, 6], [1, 1, 1, 3, 1, 1, 1, 1])
+
+
 def test_deep_shallow_sort():
     rng = np.random.default_rng(1)
     data = np.concatenate([np.tile(rng.integers(97, 99, 300), 3), rng.integers(97, 98, 200)]).astype(np.uint8)
