@@ -71,28 +71,29 @@ class Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in the order of their suffixes, compared to ``depth`` characters at least (prefix doubling)."""
-    rank, k = codes.astype(np.int64), 1
-    while True:
-        nxt = np.zeros_like(rank)
-        nxt[:-k] = rank[k:] + 1
-        key = rank * (int(nxt.max()) + 1) + nxt
-        order = np.argsort(key, kind="stable")
+    """Positions in the order of their suffixes, compared to ``depth`` characters at least (prefix doubling from four characters of 16 bits)."""
+    ends = np.concatenate([codes, np.zeros(3, codes.dtype)]).astype(np.uint64)
+    n, k = len(codes), 4
+    key = ends[:n] << np.uint64(48) | ends[1 : n + 1] << np.uint64(32) | ends[2 : n + 2] << np.uint64(16) | ends[3:]
+    order = np.argsort(key)
+    while k < depth:
+        sorted_key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        key = rank * (n + 1)
+        key[:-k] += rank[k:] + 1
+        order = np.argsort(key)
         k *= 2
-        if k >= depth:
-            return order
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty_like(rank)
-        rank[order] = new
+    return order
 
 
 class Edges:
     """Places of pieces of two characters or more, sorted by position: start, length and number in v.ids.
 
-    Zeros in ``codes`` part the words. The text is indexed by stretches of INDEX_CHARS, each long enough for pieces that begin in it.
+    Zeros in ``codes`` part the words. The text is indexed by stretches, each long enough for pieces that begin in it.
     """
 
-    def __init__(self, codes: np.ndarray, v: Vocabulary, stretch: int = INDEX_CHARS):
+    def __init__(self, codes: np.ndarray, v: Vocabulary, stretch: int = 2 * INDEX_CHARS):
         self.v, self.n, self.wide = v, len(codes), v.max_len + 1
         keys, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for at in range(0, len(codes), stretch):
@@ -100,7 +101,7 @@ class Edges:
             keys.append((start + at) * self.wide + v.lens[which])
             pieces.append(which.astype(np.int32))
         keys, pieces = np.concatenate(keys), np.concatenate(pieces)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         self.keys, self.pieces = keys[order], pieces[order]
 
     def _occurrences(self, codes: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
