@@ -189,7 +189,7 @@ class Part:
         raw = self.data.tobytes()
         of = np.fromiter((seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(start.tolist(), (windows + WINDOW - 1).tolist())), np.int64, len(start))
         _, first = np.unique(of, return_index=True)
-        bucket = (key[first] >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+        bucket = bucket_of(key[first], bits)
         hot = np.flatnonzero(parted[first] > 0)
         own = window_hashes(self.data, start[first[hot]]) & ((1 << parted[first[hot]]) - 1)
         bucket[hot] += (own + 1) << 32
@@ -220,11 +220,18 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(blob, np.uint32 if blob[0] == 4 else np.uint64, offset=1), dtype=np.uint64)
 
 
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys are least hashes, so small ones abound; mixed once more they fall into all buckets alike."""
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def by_bucket(keys: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
-    """Sorted hashes cut by their highest ``bits`` bits."""
-    bucket = (keys >> np.uint64(HASH_BITS - bits)).astype(np.int64)
+    """(bucket, places of its keys) of sorted hashes; within a bucket they stay sorted."""
+    bucket = bucket_of(keys, bits)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else []
-    return [(int(bucket[a]), keys[a:b]) for a, b in zip(first, np.append(first, len(keys))[1:].astype(int))]
+    return [(int(bucket[a]), order[a:b]) for a, b in zip(first, np.append(first, len(keys))[1:].astype(int))]
 
 
 def _arrow(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -251,10 +258,9 @@ def _offer(bits: int):
         last = np.append(first[1:], len(keys)) - 1
         several = rank[first] != rank[last] if len(first) else np.zeros(0, bool)
         marks = np.minimum(last - first + 1, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
-        rows, at, zstd = [], 0, zstandard.ZstdCompressor(level=1)
-        for bucket, own in by_bucket(keys[first], bits):
-            rows.append((key[0].as_py(), bucket, pack_sorted(own), zstd.compress(marks[at : at + len(own)].tobytes()), None))
-            at += len(own)
+        rows, keys, zstd = [], keys[first], zstandard.ZstdCompressor(level=1)
+        for bucket, own in by_bucket(keys, bits):
+            rows.append((key[0].as_py(), bucket, pack_sorted(keys[own]), zstd.compress(marks[own].tobytes()), None))
         return _arrow(rows, _LETTER)
 
     return run
@@ -380,7 +386,7 @@ def part_numbers(held: list[int], part_bytes: int) -> tuple[list[int], list[int]
         own = max(1, math.ceil(b / part_bytes))
         first.append(part)
         pieces.append(own)
-        part, fill = (part + own - 1, b) if own == 1 else (part + own, 0)
+        part, fill = (part, fill + b) if own == 1 else (part + own, 0)
     return first, pieces
 
 
