@@ -27,68 +27,92 @@ OFF = np.uint64((1 << 64) - 1)
 # ---- sorting -------------------------------------------------------------------------------------------------------
 
 
-def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number in the order of its bytes."""
+    n = len(data) - 7
+    out = np.empty(n, np.uint64)
+    for k in range(8):
+        m = -(-(n - k) // 8)
+        out[k::8] = np.frombuffer(data[k : k + 8 * m].tobytes(), ">u8")
+    return out
+
+
+def _regroup(order, group, live, by, own, key) -> np.ndarray:
+    """Put the live places in the order ``by``; groups end where ``own`` or ``key`` change. Returns the places that may still split."""
+    order[live] = order[live][by]
+    key, own = key[by], own[by]
+    new = np.ones(len(live), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(new)
+    group[live] = live[first[np.cumsum(new) - 1]]  # a group is named by its first place
+    size = np.diff(np.append(first, len(live)))
+    return np.repeat(size > 1, size)
+
+
+def multikey_sort(words: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group) of the suffixes at ``starts`` by their first ``depth`` bytes; equal ones share a group number.
 
     Multikey sorting with words of eight bytes in place of characters: numpy orders a level of all groups at once, where a quicksort
     would split them one by one; after a word only groups of two or more are sorted by the next.
     """
-    words = sliding_window_view(data, 8)
     order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
     live = np.arange(len(starts))  # places whose group may still split
     for at in range(0, depth, 8):
-        word = np.ascontiguousarray(words[starts[order[live]] + at]).view(">u8").ravel().astype(np.uint64)
-        by = np.lexsort((word, group[live])) if at else np.argsort(word, kind="stable")
-        order[live], word, own = order[live][by], word[by], group[live][by]
-        new = np.ones(len(live), bool)
-        new[1:] = (word[1:] != word[:-1]) | (own[1:] != own[:-1])
-        group[live] = live[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(live) else own  # a group is named by its first place
-        size = np.diff(np.append(np.flatnonzero(new), len(live)))
-        live = live[np.repeat(size > 1, size)]
+        word, own = words[starts[order[live]] + at], group[live]
+        by = np.argsort(word)
+        if at:  # groups stay together: by group, then by the rank of the word
+            rank = np.empty(len(live), np.int64)
+            rank[by] = np.cumsum(np.diff(word[by], prepend=word[by[:1]]) != 0)
+            by = np.argsort(own << 32 | rank)
+        live = live[_regroup(order, group, live, by, own, word)] if len(live) else live
     return order, group
 
 
-def blind_trie_sort(data: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, at: int, depth: int) -> None:
+def blind_trie_sort(data: np.ndarray, words: np.ndarray, starts: np.ndarray, order: np.ndarray, group: np.ndarray, at: int, depth: int) -> None:
     """Order the groups that agree on their first ``at`` bytes up to ``depth``; changes ``order`` and ``group``.
 
-    The tries of all groups grow level by level. A node looks for the first byte at which any of its strings leaves the
-    node's first one. There it branches, on that byte alone; a node without such a byte is a leaf of equal strings.
+    The tries of all groups grow level by level. A node looks, from the byte after its parent's branch, for the first one at which any
+    of its strings leaves the node's first. There it branches, on that byte alone; a node without such a byte is a leaf of equal strings.
     """
-    tails = sliding_window_view(data, depth - at)
     first = np.ones(len(group), bool)
     first[1:] = group[1:] != group[:-1]
     size = np.diff(np.append(np.flatnonzero(first), len(group)))
     live = np.flatnonzero(np.repeat(size > 1, size))
+    agreed = np.full(len(live), at)
     while len(live):
-        own = group[live]
+        own, place = group[live], starts[order[live]]
         head = np.ones(len(live), bool)
         head[1:] = own[1:] != own[:-1]
-        heads = np.flatnonzero(head)
-        node = np.cumsum(head) - 1
-        skip = np.empty(len(live), np.int64)
-        for a in range(0, len(live), 1 << 18):  # bounded memory
-            part = slice(a, a + (1 << 18))
-            differ = tails[starts[order[live[part]]] + at] != tails[starts[order[live[heads[node[part]]]]] + at]
-            skip[part] = np.where(differ.any(axis=1), differ.argmax(axis=1), depth - at)
-        branch = np.minimum.reduceat(skip, heads)
-        keep = (branch < depth - at)[node]
-        live, node, own = live[keep], node[keep], own[keep]
+        heads, node = np.flatnonzero(head), np.cumsum(head) - 1
+        leaves = np.full(len(live), depth)
+        todo = np.flatnonzero(~head)
+        d, lead = agreed[todo], place[heads[node[todo]]]
+        while len(todo):  # eight bytes at a time
+            x = words[place[todo] + d] ^ words[lead + d]
+            off = np.flatnonzero(x)
+            byte = (x[off].byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+            leaves[todo[off]] = np.minimum(d[off] + byte, depth)
+            on = (x == 0) & (d + 8 < depth)
+            todo, d, lead = todo[on], d[on] + 8, lead[on]
+        branch = np.minimum.reduceat(leaves, heads)[node]
+        keep = branch < depth
+        live, own, place, branch = live[keep], own[keep], place[keep], branch[keep]
         if not len(live):
             break
-        byte = data[starts[order[live]] + at + branch[node]]
-        by = np.lexsort((byte, own))
-        order[live], byte, own = order[live][by], byte[by], own[by]
-        new = np.ones(len(live), bool)
-        new[1:] = (byte[1:] != byte[:-1]) | (own[1:] != own[:-1])
-        group[live] = live[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        size = np.diff(np.append(np.flatnonzero(new), len(live)))
-        live = live[np.repeat(size > 1, size)]
+        byte = data[place + branch]
+        by = np.argsort(own << 8 | byte)
+        on = _regroup(order, group, live, by, own, byte)
+        live, agreed = live[on], branch[by][on] + 1
 
 
 def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): the suffixes at ``starts`` in the order of their first ``depth`` bytes; equal ones share a group number."""
-    order, group = multikey_sort(data, starts, SHALLOW)
-    blind_trie_sort(data, starts, order, group, SHALLOW, depth)
+    """(order, group): the suffixes at ``starts`` in the order of their first ``depth`` bytes; equal ones share a group number.
+
+    Behind the last suffix's ``depth`` bytes at least eight more have to follow.
+    """
+    words = words_of(data)
+    order, group = multikey_sort(words, starts, SHALLOW)
+    blind_trie_sort(data, words, starts, order, group, SHALLOW, depth)
     return order, group
 
 
@@ -363,11 +387,16 @@ def _remove(bits: int, keep_bytes: bool):
             first = np.cumsum(s_windows) - s_windows
             gone = least[ranges(first[number], windows)] < np.repeat(part.rank[doc], windows)
             where = ranges(start, windows)[gone]
-            np.add.at(cover, where, 1)
-            np.add.at(cover, where + WINDOW, -1)
+            cover[where] += 1  # a window stands in one run, so its place comes once
+            cover[where + WINDOW] -= 1
         covered = np.cumsum(cover[:-1]) > 0
+        gone = np.concatenate([[0], np.cumsum(covered)])
         rows = []
         for at, n, i in zip(part.at.tolist(), part.size.tolist(), part.row_order):
+            if gone[at] == gone[at + n]:
+                kept = part.data[at : at + n].tobytes()
+                rows.append((part.ids[i], n, 0, 0, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+                continue
             c = covered[at : at + n]
             kept = part.data[at : at + n][~c].tobytes()
             spans = int(c[:1].sum() + (c[1:] & ~c[:-1]).sum())
@@ -390,7 +419,7 @@ def part_numbers(held: list[int], part_bytes: int) -> tuple[list[int], list[int]
     return first, pieces
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 19, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 20, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs(doc_id, text)``.
 
     Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id. Texts are their UTF-8
