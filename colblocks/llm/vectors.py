@@ -22,7 +22,6 @@ class GraphOptions:
     sample: int = 20_000
     shard: int = 1500  # vectors a cell is meant to hold
     largest: int = 20_000  # members, or vectors from elsewhere, in a task; larger cells are cut and their cuts compared pairwise
-    hubs: int = 64  # accepted, but no longer used: cells share no hubs
     books: int = 8192  # most cells; with more vectors the cells grow
     spread: float = 3.0  # how far to the side, in standard deviations, the other end of a link is looked for
     audit: int = 2000

@@ -210,7 +210,7 @@ def test_vectors(spark):
     x[200:220] = x[5]
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, []), (904, [1.0, None]), (905, [1.0, 2.0]), (906, [2.0, 4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(0)).withColumn("cell", F.lit(1))
-    for options in (vectors.GraphOptions(shard=150), vectors.GraphOptions(shard=60, books=4, largest=100, hubs=20)):
+    for options in (vectors.GraphOptions(shard=150), vectors.GraphOptions(shard=60, books=4, largest=100)):
         got = {r["vec_id"]: r for r in vectors.near_vectors(df, 0.95, options).collect()}
         u = x.astype(np.float32).astype(float)
         u /= np.linalg.norm(u, axis=1, keepdims=True)
@@ -254,7 +254,7 @@ def test_vectors_crowded_cell(spark, books):
     x[300:600] = x[:300] + rng.normal(size=(300, 32)) * 0.1
     x[600:650] = x[:50] + rng.normal(size=(50, 32)) * 0.1
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
-    options = vectors.GraphOptions(shard=900 // books, books=books, largest=70, hubs=8)
+    options = vectors.GraphOptions(shard=900 // books, books=books, largest=70)
     got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.95, options).collect()}
     linked = true_links(rows)
     assert linked.sum() > len(x) + 600 and [got[i]["n_links"] for i in range(len(x))] == (linked.sum(axis=1) - 1).tolist()
