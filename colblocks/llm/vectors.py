@@ -1,4 +1,4 @@
-"""Embedding near-dedup: k-means cells, each vector compared exactly with every cell that its range reaches, links counted by blocks."""
+"""Embedding near-dedup: a robust-pruned graph over overlapping k-means shards, its lists united, range search from medoids in every cell in reach."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import graph
 from .common import Scratch, hot_join
 from .components import connected_components
 
@@ -25,7 +26,7 @@ class GraphOptions:
     books: int = 8192  # most cells; with more vectors the cells grow
     spread: float = 3.0  # how far to the side, in standard deviations, the other end of a link is looked for
     audit: int = 2000
-    recall: float = 0.9  # least audited recall; under it all cells that any link can reach are visited
+    recall: float = 0.9  # least audited recall; under it all cells that any link can reach are visited, and then compared exactly
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -90,14 +91,18 @@ def fit_book(vectors: DataFrame, n: int, o: GraphOptions) -> np.ndarray:
     return spherical_kmeans(unit(_matrix(rows.column("embedding"))).astype(np.float32), k)
 
 
-def reached_cells(x: np.ndarray, book: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each vector, and whether it lies within ``reach`` of the border of its home and each cell."""
+def reached_cells(x: np.ndarray, book: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home of each vector, the next cell that it reaches (or its home), and whether it lies within ``reach`` of the border of its home and each cell."""
     sims = x @ book.T
     home = sims.argmax(axis=1)
     apart = np.sqrt(np.maximum(0, 2 - 2 * (book[home] @ book.T)))
     near = sims.max(axis=1, keepdims=True) - sims <= reach * apart + 1e-5
-    near[np.arange(len(x)), home] = True
-    return home, near
+    every = np.arange(len(x))
+    near[every, home] = False
+    others = np.where(near, sims, -np.inf)
+    second = np.where(near.any(axis=1), others.argmax(axis=1), home)
+    near[every, home] = True
+    return home, second, near
 
 
 def _assigner(book: np.ndarray, reach: float):
@@ -105,19 +110,35 @@ def _assigner(book: np.ndarray, reach: float):
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                home, near = reached_cells(unit(_matrix(pa.chunked_array([part.column("embedding")]))).astype(np.float32), book, reach)
+                home, second, near = reached_cells(unit(_matrix(pa.chunked_array([part.column("embedding")]))).astype(np.float32), book, reach)
                 ends = np.concatenate([[0], near.sum(axis=1).cumsum()]).astype(np.int32)
                 cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), cells], names=["id", "n", "embedding", "home", "cells"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home.astype(np.int32)), pa.array(second.astype(np.int32)), cells], names=["id", "n", "embedding", "home", "second", "cells"])
 
     return run
 
 
-def _counter(threshold: float):
+def _builder(table: pa.Table) -> pa.Table:
+    """The lists of the graph of one shard, by id."""
+    table = table.sort_by("id")
+    ids = table.column("id").to_numpy()
+    edges = graph.build(unit(_matrix(table.column("embedding"))))
+    ends = np.concatenate([[0], (edges >= 0).sum(axis=1).cumsum()]).astype(np.int32)
+    return pa.table({"id": ids, "near": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[edges[edges >= 0]]))})
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values of a column of lists, in order; a null list has none."""
+    size = column.combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _counter(threshold: float, exact: bool):
     """Counts the links of a cut of a cell's members among themselves, with another cut, and with vectors of other cells that reach it.
 
     Each pair counts once for either end: a member counts a foreign vector only if it doesn't reach that one's home, where it would count it.
-    A row names, beside the counts, one vector that its own is connected to, so that all that are linked here are connected.
+    A row names, beside the counts, one vector that its own is connected to, so that all that are linked here are connected. Links are found by range search of the graph over the members and the vectors that
+    share their shard, or, if ``exact``, by comparing all.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -127,9 +148,7 @@ def _counter(threshold: float):
         own = (home == cell) & (table.column("cut").to_numpy() == table.column("i")[0].as_py())
         mine, other = np.flatnonzero(own), np.flatnonzero(~own)
         within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        lists = table.column("cells").take(pa.array(mine)).combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        reaches, reacher = lists.flatten().to_numpy(), np.repeat(np.arange(len(mine)), size)
+        reacher, reaches = _lists(table.column("cells").take(pa.array(mine)))
         others, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         root, label = np.full(len(ids), -1), np.arange(len(mine))
 
@@ -149,11 +168,29 @@ def _counter(threshold: float):
                     label = to[label]
 
         m = x[mine]
-        for i, j, _, _ in linked_blocks(m, m, threshold) if within else ():
+        nodes = mine if exact else np.flatnonzero(own | (table.column("second").to_numpy() == cell))
+        number = np.full(len(ids), -1)
+        number[mine] = np.arange(len(mine))
+        if not exact and len(mine):
+            if table.column("whole")[0].as_py():
+                edges = graph.restricted(ids[nodes], *_lists(table.column("near").take(pa.array(nodes))))
+            else:  # a cut of a crowded cell has few of the united lists' ends
+                edges = graph.build(x[nodes])
+            starts = graph.medoids(x[nodes].astype(np.float32))
+
+        def linked(queries: np.ndarray):
+            if exact:
+                yield from linked_blocks(queries, m, threshold)
+                return
+            for i, j, a, b in graph.range_search(x[nodes], edges, starts, queries, threshold):
+                j = number[nodes[j]]
+                yield i[j >= 0], j[j >= 0], a, b
+
+        for i, j, _, _ in linked(m) if within and len(mine) else ():
             connect(mine[i], j)
             i, j = i[i != j], j[i != j]
             add(mine[i], n[mine[j]])
-        for i, j, a, b in linked_blocks(x[other], m, threshold) if len(mine) else ():
+        for i, j, a, b in linked(x[other]) if len(mine) and len(other) else ():
             i = other[i]
             connect(i, j)
             add(i, n[mine[j]])
@@ -171,20 +208,28 @@ def _counter(threshold: float):
     return run
 
 
-def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: float, scratch: Scratch, o: GraphOptions) -> DataFrame:
+def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: float, exact: bool, scratch: Scratch, o: GraphOptions) -> DataFrame:
     """(id, others, found, root): links of distinct vectors ``classes(id, n, embedding)`` of one length, several rows to a vector.
 
     The sums of ``others`` (weighted by n) and ``found`` are a vector's links; the edges from id to root connect what is linked. No pair is
     listed, so a group of any size costs rows for its members and the cells they reach.
     """
     kind = dict(classes.dtypes)["embedding"]
-    placed = classes.select("id", "n", "embedding").mapInArrow(_assigner(book, reach), f"id long, n long, embedding {kind}, home int, cells array<int>")
+    placed = classes.select("id", "n", "embedding").mapInArrow(_assigner(book, reach), f"id long, n long, embedding {kind}, home int, second int, cells array<int>")
     placed = scratch.stage(placed, "cells")
-    rows = placed.select("id", "n", "embedding", "home", "cells", F.explode("cells").alias("cell"))
-    member = F.col("home") == F.col("cell")
-    sizes = rows.groupBy("cell").agg(F.count(F.when(member, 1)).alias("m"), F.count(F.when(~member, 1)).alias("f"))
+    member, shared = F.col("home") == F.col("cell"), F.col("second") == F.col("cell")
+    sizes = placed.select("home", "second", F.explode("cells").alias("cell"))
+    sizes = sizes.groupBy("cell").agg(F.count(F.when(member, 1)).alias("m"), F.count(F.when(~member, 1)).alias("f"), F.count(F.when(member | shared, 1)).alias("s"))
     cuts = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / o.largest)).cast("int").alias(c + "_cuts")
-    sizes = scratch.stage(sizes.select("cell", cuts("m"), cuts("f")), "sizes")  # a row per cell, ``books`` at most
+    sizes = scratch.stage(sizes.select("cell", cuts("m"), cuts("f"), cuts("s")), "sizes")  # a row per cell, ``books`` at most
+    rows = placed.withColumn("near", F.lit(None).cast("array<long>"))
+    if not exact:  # each vector stands in the shards of its home and of the next cell in reach; a shard is a cell's, cut by size
+        shards = placed.select("id", "embedding", F.explode(F.array_distinct(F.array("home", "second"))).alias("cell")).join(F.broadcast(sizes), "cell")
+        shards = shards.select("id", "embedding", "cell", F.pmod(F.xxhash64(F.lit(13), "id"), "s_cuts").alias("cut"))
+        lists = shards.groupBy("cell", "cut").applyInArrow(_builder, "id long, near array<long>")
+        lists = scratch.stage(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")  # two lists a vector
+        rows = placed.join(lists, "id", "left")
+    rows = rows.withColumn("cell", F.explode("cells")).withColumn("near", F.when(member | shared, F.col("near")))
     # Task (i, j): cut i of the members with cut j, or with part -j of the others; part 0 goes along with (i, i).
     rows = rows.join(F.broadcast(sizes), "cell").withColumn("cut", F.pmod(F.xxhash64(F.lit(13), "id"), F.when(member, F.col("m_cuts")).otherwise(F.col("f_cuts"))).cast("int"))
     cut, every = F.col("cut"), F.sequence(F.lit(0), F.col("m_cuts") - 1)
@@ -192,8 +237,8 @@ def count_links(classes: DataFrame, book: np.ndarray, threshold: float, reach: f
     task = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     inside = F.concat(F.transform(every, lambda k: task(F.least(cut, k), F.greatest(cut, k))), F.transform(parts, lambda k: task(cut, -k)))
     outside = F.transform(every, lambda k: task(k, F.when(cut == 0, k).otherwise(-cut)))
-    rows = rows.select("cell", "cut", "id", "n", "embedding", "home", F.when(member, F.col("cells")).alias("cells"), F.explode(F.when(member, inside).otherwise(outside)).alias("task"))
-    return scratch.stage(rows.select("*", "task.i", "task.j").drop("task").groupBy("cell", "i", "j").applyInArrow(_counter(threshold), "id long, others long, found long, root long"), "found")
+    rows = rows.select("cell", "cut", "id", "n", "embedding", "home", "second", "near", ((F.col("s_cuts") == 1) & (F.col("m_cuts") == 1)).alias("whole"), F.when(member, F.col("cells")).alias("cells"), F.explode(F.when(member, inside).otherwise(outside)).alias("task"))
+    return scratch.stage(rows.select("*", "task.i", "task.j").drop("task").groupBy("cell", "i", "j").applyInArrow(_counter(threshold, exact), "id long, others long, found long, root long"), "found")
 
 
 def audit_recall(classes: DataFrame, found: DataFrame, n: int, threshold: float, o: GraphOptions) -> float | None:
@@ -231,7 +276,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     non-finite components link with nothing, nor do vectors of different lengths. Equal vectors are one node of
     the graph, weighted by their number, so copies cost nothing however many there are. A null vec_id is counted as a link
     but never names a component that has another; rows that share a vec_id are vectors of their own. ``recall`` is the audited share of
-    true links between distinct vectors, null where the audit met none; it is the options' ``recall`` at least, or else the search is done again as far as any link can reach, and raises if that doesn't help.
+    true links between distinct vectors, null where the audit met none; it is the options' ``recall`` at least, or else the search is done again as far as any link can reach, and then by comparing all that is in reach, which misses nothing.
     """
     o = options or GraphOptions()
     spark = vectors.sparkSession
@@ -248,8 +293,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, options: GraphOpti
     for length, n in sorted(tuple(r) for r in classes.groupBy(F.size("embedding")).count().collect()):
         own = classes.where(F.size("embedding") == length)
         book = fit_book(own, n, o)
-        for reach in sorted({likely_reach(threshold, length, o), sure_reach(threshold)}):
-            part = count_links(own, book, threshold, reach, scratch, o)
+        likely, sure = likely_reach(threshold, length, o), sure_reach(threshold)
+        for reach, exact in [(r, False) for r in sorted({likely, sure})] + [(sure, True)]:
+            part = count_links(own, book, threshold, reach, exact, scratch, o)
             recalls.append(audit_recall(own, part, n, threshold, o))
             if recalls[-1] is None or recalls[-1] >= o.recall:
                 break

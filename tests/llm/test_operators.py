@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from colblocks.llm import components, langid, licenses, line_dedup, mixing, pieces, quality, queries, simhash, substrings, vectors, warc
+from colblocks.llm import components, graph, langid, licenses, line_dedup, mixing, pieces, quality, queries, simhash, substrings, vectors, warc
 from colblocks.llm.common import Scratch, hot_join
 
 SF = "/root/testdata/sf0.001"
@@ -286,12 +286,30 @@ def test_vectors_double_and_repeated_ids(spark):
     assert vectors.near_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")).head()["recall"] is None
 
 
+def test_graph_recall():
+    """Range search of the graph: clusters, pairs among noise, one cone; nothing under the threshold."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: vectors.unit(rng.normal(size=(n, 64)))
+    clusters = vectors.unit(noise(80)[rng.integers(80, size=1200)] + noise(1200) * 0.22)
+    pairs = np.concatenate([noise(400)] * 2)
+    pairs = vectors.unit(pairs + noise(800) * 0.2)
+    cone = vectors.unit(noise(1) + noise(900) * rng.uniform(0, 0.4, size=(900, 1)))
+    for x in (clusters, pairs, cone):
+        edges, starts = graph.build(x), graph.medoids(x.astype(np.float32))
+        assert ((edges >= -1) & (edges < len(x))).all() and (edges != np.arange(len(x))[:, None]).all()
+        got = np.concatenate([np.stack([i, j], axis=1) for i, j, _, _ in graph.range_search(x, edges, starts, x, 0.95)])
+        true = x @ x.T >= 0.95
+        assert true[got[:, 0], got[:, 1]].all() and len(np.unique(got, axis=0)) == len(got)
+        assert len(got) - len(x) >= 0.98 * (true.sum() - len(x))
+    assert graph.range_search(x[:1], graph.build(x[:1]), np.array([0]), x[:1], 0.95).__next__()[1].tolist() == [0]
+
+
 def test_vectors_reach():
     """The sure reach covers every link, from either end."""
     rng = np.random.default_rng(10)
     for d in (2, 5, 12):
         x = vectors.unit(rng.normal(size=(600, d)))
-        home, near = vectors.reached_cells(x.astype(np.float32), vectors.spherical_kmeans(x.astype(np.float32), 40), vectors.sure_reach(0.9))
+        home, _, near = vectors.reached_cells(x.astype(np.float32), vectors.spherical_kmeans(x.astype(np.float32), 40), vectors.sure_reach(0.9))
         i, j = np.nonzero(x @ x.T >= 0.9)
         assert near[i, home[j]].all()
 
