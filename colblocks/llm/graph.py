@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-DEGREE, BEAM, ALPHA, STEP, QUERIES = 24, 32, 1.2, 4, 256
+DEGREE, BEAM, REACH, ALPHA, STEP, QUERIES = 24, 32, 16, 1.2, 4, 256  # BEAM where the graph is built, REACH where it is searched
 
 
 def medoids(x: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -60,21 +60,26 @@ def robust_prune(x: np.ndarray, nodes: np.ndarray, found: np.ndarray, degree: in
     return out
 
 
-def greedy(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(beam, similarities) of each query after greedy search from ``starts``; the beam holds the BEAM best found, -1 pads."""
+def _best(s: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` largest of each row, in no order."""
+    return np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.broadcast_to(np.arange(s.shape[1]), s.shape)
+
+
+def greedy(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(beam, similarities) of each query after greedy search from ``starts``; the beam holds the ``width`` best found, in no order, -1 pads."""
     n, every = len(queries), np.arange(len(queries))[:, None]
     seen = np.zeros((n, len(x) + 1), bool)  # the last column stands for no node
     seen[:, -1] = True
     seen[:, starts] = True
     s = queries @ x[starts].T
-    top = np.argsort(-s, axis=1, kind="stable")[:, :BEAM]
-    beam, sims = np.full((n, BEAM), -1, np.int32), np.full((n, BEAM), -np.inf, np.float32)
+    top = _best(s, width)
+    beam, sims = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf, np.float32)
     beam[:, : top.shape[1]], sims[:, : top.shape[1]] = starts[top], s[every, top]
     done = beam < 0
     active = np.arange(n)
     while len(active):
         rows = active[:, None]
-        pick = np.argsort(np.where(done[active], np.inf, -sims[active]), axis=1, kind="stable")[:, :STEP]
+        pick = _best(np.where(done[active], -np.inf, sims[active]), STEP)
         fresh = ~done[rows, pick]
         done[rows, pick] = True
         new = np.where(fresh[:, :, None], edges[beam[rows, pick]], -1).reshape(len(active), -1)
@@ -87,8 +92,8 @@ def greedy(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries: np.nda
         sim[q, k] = np.einsum("pd,pd->p", queries[active[q]], x[node])
         ids = np.concatenate([beam[active], np.where(sim > -np.inf, new, -1)], axis=1)
         sim = np.concatenate([sims[active], sim], axis=1)
-        old = np.concatenate([done[active], sim[:, BEAM:] == -np.inf], axis=1)
-        order = np.argsort(-sim, axis=1, kind="stable")[:, :BEAM]
+        old = np.concatenate([done[active], sim[:, width:] == -np.inf], axis=1)
+        order = _best(sim, width)
         here = np.arange(len(active))[:, None]
         beam[active], sims[active], done[active] = ids[here, order], sim[here, order], old[here, order]
         active = active[~done[active].all(axis=1)]
@@ -165,7 +170,7 @@ def range_search(x: np.ndarray, edges: np.ndarray, starts: np.ndarray, queries:
     for a in range(0, len(queries), QUERIES):
         q64 = queries[a : a + QUERIES]
         q32 = q64.astype(np.float32)
-        beam, sims = greedy(x32, edges, starts, q32)
+        beam, sims = greedy(x32, edges, starts, q32, REACH)
         hit = sims >= outer
         fq, fn = np.nonzero(hit)[0], beam[hit].astype(np.int64)
         seen = np.zeros((len(q64), len(x) + 1), bool)  # anew: what fell off a full beam may be in range
