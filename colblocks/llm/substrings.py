@@ -19,8 +19,12 @@ from .common import ranges
 WINDOW, GRAM, HASH_BITS = 50, 24, 46
 #: Bytes that multikey quicksort orders before blind tries take over.
 SHALLOW = 16
-#: Runs under one key, over all parts, that a bucket takes; the windows of a key with more are dealt over several by a hash of their bytes.
-HOT_RUNS = 4096
+#: Runs under one key, over all parts, that a place takes; the windows of a key with more are dealt over several by a hash of their bytes.
+HOT_RUNS = 1 << 15
+#: Bits of a segment's place within its bucket. A bucket is sorted place by place, about CHUNK windows at a time.
+PLACE_BITS, CHUNK = 6, 1 << 20
+#: Bits of buckets, one for each MB at most, that even a small corpus is dealt over.
+SPREAD_BITS = 5
 OFF = np.uint64((1 << 64) - 1)
 
 
@@ -197,10 +201,10 @@ class Part:
         return first[fits], windows[fits], doc[fits], key[first[fits]]
 
     def segments(self, shared: np.ndarray, split: np.ndarray, bits: int):
-        """Distinct strings of the runs with shared keys: per run its segment; per segment start, windows, bucket, least rank.
+        """Distinct strings of the runs with shared keys: per run its segment; per segment start, windows, place, least rank.
 
-        A key with a ``split`` of s > 0 has its windows one by one, dealt over 2^s buckets of their own by their bytes. Segments are
-        numbered by bucket, then by first appearance.
+        The high ``bits`` of a place are the bucket. A key with a ``split`` of s > 0 has its windows one by one, dealt over 2^s places by
+        their bytes. Segments are numbered by place, then by first appearance.
         """
         start, windows, doc, key = self.runs()
         at = np.minimum(np.searchsorted(shared, key), max(len(shared) - 1, 0))
@@ -213,15 +217,16 @@ class Part:
         raw = self.data.tobytes()
         of = np.fromiter((seen.setdefault(raw[a : a + n], len(seen)) for a, n in zip(start.tolist(), (windows + WINDOW - 1).tolist())), np.int64, len(start))
         _, first = np.unique(of, return_index=True)
-        bucket = bucket_of(key[first], bits)
+        mixed = key[first]
         hot = np.flatnonzero(parted[first] > 0)
         own = window_hashes(self.data, start[first[hot]]) & ((1 << parted[first[hot]]) - 1)
-        bucket[hot] += (own + 1) << 32
-        order = np.argsort(bucket, kind="stable")
+        mixed[hot] += (own + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        place = bucket_of(mixed, bits + PLACE_BITS)
+        order = np.argsort(place, kind="stable")
         number = np.empty_like(order)
         number[order] = np.arange(len(order))
         first = first[order]
-        return (start, windows, doc, number[of] if len(of) else of), (start[first], windows[first], bucket[order], self.rank[doc[first]], key[first])
+        return (start, windows, doc, number[of] if len(of) else of), (start[first], windows[first], place[order], self.rank[doc[first]], key[first])
 
 
 def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -234,14 +239,14 @@ def window_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted hashes as differences of four bytes, or eight if one doesn't fit."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    return b"\x04" + step.astype(np.uint32).tobytes() if len(step) == 0 or int(step.max()) < 1 << 32 else b"\x08" + step.tobytes()
+def pack_sorted(keys: np.ndarray, zstd: zstandard.ZstdCompressor) -> bytes:
+    """Sorted hashes as differences, all their low bytes first: the high ones are nearly all zero and compress away."""
+    return zstd.compress(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, np.uint32 if blob[0] == 4 else np.uint64, offset=1), dtype=np.uint64)
+def unpack_sorted(blob: bytes, zstd: zstandard.ZstdDecompressor) -> np.ndarray:
+    step = np.frombuffer(zstd.decompress(blob), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(step).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -249,6 +254,24 @@ def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def bucket_bits(total: int, bucket_bytes: int) -> int:
+    """Bits of the buckets of a corpus of ``total`` bytes: of at most ``bucket_bytes`` each, and enough of them for several tasks.
+
+    Each part writes each bucket a letter, so their number is that of the parts times that of the buckets: small buckets would make it
+    grow with the square of the corpus long before a letter is worth its handling.
+    """
+    fit = lambda size: math.ceil(total / size).bit_length()
+    return max(1, fit(bucket_bytes), min(SPREAD_BITS, fit(1 << 20)))
+
+
+def chunks(place: np.ndarray, windows: np.ndarray) -> list[np.ndarray]:
+    """The segments by place, places whole, in pieces of CHUNK windows and what their last place has beyond."""
+    order = np.argsort(place, kind="stable")
+    first = np.flatnonzero(np.diff(place[order].astype(np.int64), prepend=-1))
+    before = (np.cumsum(windows[order]) - windows[order])[first]
+    return np.split(order, first[np.flatnonzero(np.diff(before // CHUNK, prepend=-1))][1:])
+
+
 def by_bucket(keys: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, places of its keys) of sorted hashes; within a bucket they stay sorted."""
     bucket = bucket_of(keys, bits)
@@ -284,7 +307,7 @@ def _offer(bits: int):
         marks = np.minimum(last - first + 1, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
         rows, keys, zstd = [], keys[first], zstandard.ZstdCompressor(level=1)
         for bucket, own in by_bucket(keys, bits):
-            rows.append((key[0].as_py(), bucket, pack_sorted(keys[own]), zstd.compress(marks[own].tobytes()), None))
+            rows.append((key[0].as_py(), bucket, pack_sorted(keys[own], zstd), zstd.compress(marks[own].tobytes()), None))
         return _arrow(rows, _LETTER)
 
     return run
@@ -292,8 +315,8 @@ def _offer(bits: int):
 
 def _share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """bucket -> for each part those of its keys that another part, or two documents, hold; marks tell how the key is split."""
-    zstd = zstandard.ZstdDecompressor()
-    parts, keys = table.column("part").to_pylist(), [unpack_sorted(b) for b in table.column("keys").to_pylist()]
+    packer, zstd = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    parts, keys = table.column("part").to_pylist(), [unpack_sorted(b, zstd) for b in table.column("keys").to_pylist()]
     marks = [np.frombuffer(zstd.decompress(b), np.uint8) for b in table.column("marks").to_pylist()]
     every, mark = np.concatenate(keys), np.concatenate(marks)
     order = np.argsort(every, kind="stable")
@@ -308,13 +331,14 @@ def _share(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))
         hit = twice[at] == own if len(twice) else np.zeros(len(own), bool)
         if hit.any():
-            rows.append((part, key[0].as_py(), pack_sorted(own[hit]), split[at[hit]].tobytes(), None))
+            rows.append((part, key[0].as_py(), pack_sorted(own[hit], packer), split[at[hit]].tobytes(), None))
     return _arrow(rows, _LETTER)
 
 
 def _shared_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(keys, their splits), sorted by key."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_sorted(b) for b in table.column("keys").to_pylist()]])
+    zstd = zstandard.ZstdDecompressor()
+    keys = np.concatenate([np.zeros(0, np.uint64), *[unpack_sorted(b, zstd) for b in table.column("keys").to_pylist()]])
     split = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(b, np.uint8) for b in table.column("marks").to_pylist()]])
     keys, first = np.unique(keys, return_index=True)  # a split key comes from several buckets
     return keys, split[first]
@@ -328,15 +352,16 @@ def _ask(bits: int):
             return _arrow([], _LETTER)
         part, zstd = Part(docs), zstandard.ZstdCompressor(level=1)
         known, split = _shared_of(shared)
-        _, (start, windows, bucket, _, keys) = part.segments(known, split, bits)
-        rows = []
+        _, (start, windows, place, _, keys) = part.segments(known, split, bits)
+        rows, bucket = [], place >> PLACE_BITS
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
         for a, b in zip(first, np.append(first, len(bucket))[1:].astype(int)):
             n = windows[a:b]
             text = part.data[ranges(start[a:b], n + WINDOW - 1)].tobytes()
-            body = zstd.compress(np.array([len(n)], np.uint32).tobytes() + n.astype(np.uint32).tobytes() + text)
+            inner = (place[a:b] & ((1 << PLACE_BITS) - 1)).astype(np.uint8).tobytes()
+            body = zstd.compress(np.array([len(n)], np.uint32).tobytes() + n.astype(np.uint32).tobytes() + inner + text)
             own = np.unique(keys[a:b])
-            rows.append((key[0].as_py(), int(bucket[a]), pack_sorted(own), split[np.searchsorted(known, own)].tobytes(), body))
+            rows.append((key[0].as_py(), int(bucket[a]), pack_sorted(own, zstd), split[np.searchsorted(known, own)].tobytes(), body))
         return _arrow(rows, _LETTER)
 
     return run
@@ -344,20 +369,23 @@ def _ask(bits: int):
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """bucket -> for each part a bit per window that it asked for: an earlier part has the same bytes."""
-    zstd, texts, starts, parts, counts, at = zstandard.ZstdDecompressor(), [], [], [], [], 0
-    for part, body in zip(table.column("part").to_pylist(), table.column("body").to_pylist()):
+    zstd, texts, windows, places = zstandard.ZstdDecompressor(), [], [], []
+    for body in table.column("body").to_pylist():
         raw = zstd.decompress(body)
         m = int(np.frombuffer(raw, np.uint32, 1)[0])
-        n = np.frombuffer(raw, np.uint32, m, 4).astype(np.int64)
-        texts.append(raw[4 + 4 * m :])
-        size = n + WINDOW - 1
-        starts.append(at + ranges(np.cumsum(size) - size, n))
-        parts.append(np.full(int(n.sum()), part))
-        counts.append(int(n.sum()))
-        at += len(texts[-1])
-    data = np.frombuffer(b"".join(texts) + bytes(WINDOW + 8), np.uint8)
-    of = np.concatenate(parts)
-    earlier = least_of_equal(data, np.concatenate(starts), of) < of
+        windows.append(np.frombuffer(raw, np.uint32, m, 4))
+        places.append(np.frombuffer(raw, np.uint8, m, 4 + 4 * m))
+        texts.append(memoryview(raw)[4 + 5 * m :])
+    of = np.repeat(table.column("part").to_numpy(), list(map(len, windows)))
+    counts = [int(n.sum()) for n in windows]
+    data, n = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(windows).astype(np.int64)
+    del texts
+    size, first = n + WINDOW - 1, np.cumsum(n) - n
+    at, earlier = np.cumsum(size) - size, np.zeros(int(n.sum()), bool)
+    for own in chunks(np.concatenate(places), n):
+        text = np.concatenate([data[ranges(at[own], size[own])], np.zeros(WINDOW + 8, np.uint8)])
+        part = np.repeat(of[own], n[own])
+        earlier[ranges(first[own], n[own])] = least_of_equal(text, ranges(np.cumsum(size[own]) - size[own], n[own]), part) < part
     bits = [np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum(counts)[:-1])]
     rows = list(zip(table.column("part").to_pylist(), [key[0].as_py()] * len(bits), table.column("keys").to_pylist(), table.column("marks").to_pylist(), bits))
     return _arrow(rows, _LETTER)
@@ -376,9 +404,9 @@ def _remove(bits: int, keep_bytes: bool):
         part = Part(docs)
         cover = np.zeros(len(part.data) + 1, np.int32)
         if answers.num_rows:
-            (start, windows, doc, number), (s_start, s_windows, s_bucket, s_rank, _) = part.segments(*_shared_of(answers), bits)
+            (start, windows, doc, number), (s_start, s_windows, s_place, s_rank, _) = part.segments(*_shared_of(answers), bits)
             by = dict(zip(answers.column("bucket").to_pylist(), answers.column("body").to_pylist()))
-            buckets, first = np.unique(s_bucket, return_index=True)  # segments are in the order of their buckets
+            buckets, first = np.unique(s_place >> PLACE_BITS, return_index=True)  # segments are in the order of their buckets
             size = np.add.reduceat(s_windows, first) if len(first) else first
             earlier = [np.unpackbits(np.frombuffer(by[b], np.uint8), count=n) for b, n in zip(buckets.tolist(), size.tolist())]
             rank = np.repeat(s_rank, s_windows)
@@ -419,7 +447,7 @@ def part_numbers(held: list[int], part_bytes: int) -> tuple[list[int], list[int]
     return first, pieces
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 20, bucket_bytes: int = 1 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 20, bucket_bytes: int = 32 << 20, max_cuts: int = 4096, keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs(doc_id, text)``.
 
     Removes each byte covered by a 50-byte string that also starts in a document with a smaller doc_id. Texts are their UTF-8
@@ -427,7 +455,8 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 20, bucket_bytes: int
     other; a null doc_id counts as smaller than all others.
 
     The corpus is cut into parts, ranges of doc_id of about ``part_bytes`` and of a document at least, which is never cut; and the
-    hashes into as many buckets as the corpus has ``bucket_bytes``. Five steps:
+    hashes into buckets, each for at most ``bucket_bytes`` of the corpus and sorted by smaller places, so that the letters between parts
+    and buckets stay few. Five steps:
     1. A part offers the distinct keys of its windows (the least hash of a window's grams).
     2. A bucket names the keys that more than one document has; windows under other keys are unique, so none is missed.
     3. A part sends each distinct string under its shared keys once, however many copies it holds.
@@ -435,13 +464,13 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 3 << 20, bucket_bytes: int
     5. A part sorts its own windows likewise, joins both answers and removes what they cover.
     Texts are shuffled once (the exchange by part is used three times). A string in a third of all documents reaches its
     bucket once a part. Around the ends of a passage that many documents share their strings differ, though one key has them all: a
-    key with more than HOT_RUNS runs has its windows dealt over buckets of their own by a hash of their bytes, which equal windows
+    key with more than HOT_RUNS runs has its windows dealt over the places of all buckets by a hash of their bytes, which equal windows
     share. Columns other than the two are left out, so none can clash.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     total, n, low, high = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).head()
-    bits = max(1, math.ceil(total / bucket_bytes).bit_length())
+    bits = bucket_bits(total, bucket_bytes)
     # Ranges of doc_id with about as many documents each; their bytes are summed, and ranges are joined to parts or cut into several.
     tops = max(1, min(4 * math.ceil(total / part_bytes), max_cuts))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / tops for i in range(1, tops)], 20 * tops)).head()[0] if tops > 1 and n else []

@@ -456,6 +456,38 @@ def test_repeats_hot_passage(spark, monkeypatch):
         assert sorted(tuple(r) for r in substrings.remove_repeats(df, part_bytes, 400, keep_bytes=False).drop("kept").collect()) == sorted(plain_repeats(rows))
 
 
+def test_repeats_in_places(spark, monkeypatch):
+    """A bucket sorted in many small chunks, with keys split over the places of all buckets, gives the same."""
+    monkeypatch.setattr(substrings, "CHUNK", 20)
+    monkeypatch.setattr(substrings, "HOT_RUNS", 3)
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdef"), 7)) for _ in range(60)]
+    rows = [(int(i), " ".join(rng.choice(words, 6)) + " ".join(words[i % 5 : i % 5 + 12]) + " ".join(rng.choice(words, 4))) for i in rng.permutation(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part_bytes, bucket_bytes in ((700, 1 << 20), (700, 3000), (1 << 20, 1 << 20)):
+        assert sorted(tuple(r) for r in substrings.remove_repeats(df, part_bytes, bucket_bytes, keep_bytes=False).drop("kept").collect()) == sorted(plain_repeats(rows))
+
+
+def test_chunks():
+    place, windows = np.array([3, 0, 3, 1, 0, 7], np.uint8), np.array([5, 9, 1, 4, 2, 8])
+    for size in (1, 6, 12, 100):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substrings, "CHUNK", size)
+            got = substrings.chunks(place, windows)
+        assert sorted(np.concatenate(got).tolist()) == list(range(6))
+        assert sum(len(set(place[c])) for c in got) == 4  # no place in two chunks
+        assert size > 1 or len(got) == 4
+
+
+def test_repeats_letters_in_proportion(spark, monkeypatch):
+    """On 2 GB of texts, which are only measured here: a part writes each bucket a letter, and these must stay few for each GB."""
+    seen = []
+    monkeypatch.setattr(substrings, "_offer", lambda bits: seen.append(bits) or (lambda table: table))
+    docs = spark.range(2048, numPartitions=4).select(F.col("id").alias("doc_id"), F.expr("repeat('some text of a page\n', 52429)").alias("text"))
+    substrings.remove_repeats(docs)
+    assert (2 << 30) / (3 << 20) * 2 ** seen[0] < 200_000 * 2
+
+
 def test_part_numbers():
     first, pieces = substrings.part_numbers([3, 3, 3, 3, 25, 0, 4, 10, 1], 10)
     assert (first, pieces) == ([0, 0, 0, 1, 2, 5, 5, 6, 7], [1, 1, 1, 1, 3, 1, 1, 1, 1])
