@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from test_operators import EDGE, plain_components, plain_lines
 
 import corpus_pipeline as P
+from colblocks.llm import common
+from colblocks.llm.shingles import near_duplicates
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +87,42 @@ def test_near_copies(spark, monkeypatch):
     df = dict(P.STAGES)["simhash"](spark, df, SF)
     assert sorted(r["doc_id"] for r in df.collect()) == [*range(40), *range(300, 340), 400, 401, 402]
     assert len(P.STAGES) == 5
+
+
+def test_texts_stay(spark, tmp_path):
+    """Near-duplicates shuffle the texts of groups, not all texts, where nothing is small enough to broadcast."""
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i] + " end") for i in range(6)] + [(2000, texts[0]), (None, texts[1]), (None, "one text"), (None, "another")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+
+    def stages():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        out = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {out.apply(i).stageId(): out.apply(i).shuffleWriteBytes() for i in range(out.size())}
+
+    last, threshold = max(stages()), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_duplicates(spark.read.parquet(f"{tmp_path}/docs")).select("doc_id", "component_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    of = {i: i for i in range(300)} | {1000 + i: i for i in range(6)} | {2000: 0}
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [*of.items(), (None, 1), (None, None), (None, None)]))
+    assert sum(n for stage, n in stages().items() if stage > last) < 0.3 * sum(len(t) for _, t in rows)
+
+
+def test_maybe_among(spark):
+    """No key is missed, with nulls too, and most others are told apart; a bitmap too small tells fewer apart and misses none."""
+    rows = spark.range(20_000).select(F.when(F.col("id") != 7, F.col("id")).alias("k"), (F.col("id") * 3).alias("j"), F.lit("wide").alias("text"))
+    keys = rows.where("j % 100 = 0 OR k IS NULL").select("k", "j")
+    for bits in (26, 12):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(common, "MAP_BITS", bits)
+            m.setattr(common, "PAGE_BITS", min(15, bits))
+            marked = common.maybe_among(rows, keys, ["k", "j"])
+            assert marked.columns == ["k", "j", "text", "_maybe"]
+            assert marked.where("_maybe AND (j % 100 = 0 OR k IS NULL)").count() == keys.count() == 201
+            assert marked.where("_maybe").count() < 201 + 20_000 / (8 if bits == 26 else 2) and marked.count() == 20_000
+    assert common.maybe_among(rows, keys.limit(0), ["k", "j"]).where("_maybe").isEmpty()
