@@ -34,3 +34,15 @@ def test_negative_zero_max_exponent(spark, customers):
     b = spark.createDataFrame([(0, 0, -0.0), (0, 1, 0.0), (0, 2, -1.5), (0, 3, None)], "block_id long, pos long, v double")
     enc = E.max_exponent_encode(b, E.max_exponent(b.withColumn("v", F.abs("v"))))
     assert [str(r["value"]) for r in E.max_exponent_decode(enc).orderBy("pos").collect()] == ["-0.0", "0.0", "-1.5", "0.0"]
+
+
+def test_negative_zero_and_null_exponents(spark, customers, tmp_path):
+    check(spark, customers, "pseudodecimal_exponents_balance")
+    table = pq.read_table(f"{customers}/customer.parquet").slice(0, 6)
+    some = pa.array([-0.0, None, 0.25, -1.0, float("nan"), 3e9])
+    pq.write_table(table.set_column(3, "c_acctbal", some), f"{tmp_path}/customer.parquet")
+    check(spark, str(tmp_path), "pseudodecimal_exponents_balance")
+    b = spark.createDataFrame([(0, 0, -0.0), (0, 1, 0.0), (0, 2, -1.5), (0, 3, None), (0, 4, 0.25)], "block_id long, pos long, v double")
+    enc = E.pseudodecimal_encode(b)
+    assert [str(r["value"]) for r in E.pseudodecimal_decode(enc).orderBy("pos").collect()] == ["-0.0", "0.0", "-1.5", "0.0", "0.25"]
+    assert [tuple(r) for r in E.exception_groups(enc).collect()] == [(0, 1)]
