@@ -45,3 +45,7 @@ def test_run_packing(spark):
     assert tasks(spark, "run_packing_cost") >= TASKS
     plan = entry.queries()["run_packing_cost"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 2  # of the one pass over the runs
+
+
+def test_statistics_of_a_number(spark):
+    assert tasks(spark, "block_stats_double") >= TASKS
