@@ -98,14 +98,17 @@ def _own(config: Config, column: str) -> Config:
     return config.configure(overrides={path: scheme for (name, path), scheme in config.overrides.items() if name == column})
 
 
-def _encoder(kinds: dict[str, str], config: Config):
+def _encoder(kinds: dict[str, str], config: Config, of: dict[str, str]):
     names = list(kinds)
 
     def run(table: pa.Table) -> pa.Table:
-        name, kind, block, values, present = _gathered(table, names, kinds)
-        stream, raw, how, nullmap = encode_column(values, present, kind, _own(config, name))
-        row = (name, names.index(name), kind, block, len(present), stream.names[0], stream.description, raw, len(stream.data), how, len(nullmap), *bounds(values, present, kind), int(present.sum()), nullmap, stream.data)
-        return pa.table({n: pa.array([c], t) for c, (n, t) in zip(row, _FIELDS)})
+        source, kind, block, values, present = _gathered(table, names, kinds)
+        rows = []
+        for no, (name, own) in enumerate(of.items()):
+            if own == source:
+                stream, raw, how, nullmap = encode_column(values, present, kind, _own(config, name))
+                rows.append((name, no, kind, block, len(present), stream.names[0], stream.description, raw, len(stream.data), how, len(nullmap), *bounds(values, present, kind), int(present.sum()), nullmap, stream.data))
+        return pa.table({n: pa.array(c, t) for c, (n, t) in zip(zip(*rows), _FIELDS)})
 
     return run
 
@@ -146,10 +149,13 @@ def _pieces(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return rows.select(F.col("block_id").cast("long").alias("block_id"), F.col("pos").cast("long").alias("pos"), *values).mapInArrow(_fragmenter(list(kinds.values())), "column_no int, block_id long, start long, dense boolean, cells binary")
 
 
-def encode_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
-    """Encoded columns of ``rows`` with block_id and pos. One shuffle of whole column pieces, by column and block; a task holds one such at a time."""
-    kinds = column_kinds(rows, columns)
-    return _pieces(rows, kinds).groupBy("column_no", "block_id").applyInArrow(_encoder(kinds, config), ENCODED)
+def encode_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None, of: dict[str, str] | None = None) -> DataFrame:
+    """Encoded columns of ``rows`` with block_id and pos. One shuffle of whole column pieces, by column and block; a task holds one such at a time.
+
+    ``of`` names the columns to return and the column of ``rows`` that each is made of: what is encoded in several ways is shuffled once.
+    """
+    kinds = column_kinds(rows, list(of.values()) if of else columns)
+    return _pieces(rows, kinds).groupBy("column_no", "block_id").applyInArrow(_encoder(kinds, config, of or {c: c for c in kinds}), ENCODED)
 
 
 def estimate_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:

@@ -49,3 +49,18 @@ def test_run_packing(spark):
 
 def test_statistics_of_a_number(spark):
     assert tasks(spark, "block_stats_double") >= TASKS
+
+
+def test_a_column_in_several_ways(spark):
+    rows = spark.range(2000).select((F.col("id") / 500).cast("long").alias("block_id"), (F.col("id") % 500).alias("pos"), (F.col("id") % 9).cast("int").alias("v"), F.lit(5).alias("w"))
+    of, config = {"DICT": "v", "RLE": "v", "BP": "v", "ONE_VALUE": "w"}, Config(overrides={(s, ()): s for s in ("DICT", "RLE", "BP", "ONE_VALUE")})
+    got = P.encode_blocks(rows, config, of=of)
+    want = P.encode_blocks(rows.select("block_id", "pos", *[F.col(c).alias(s) for s, c in of.items()]), config)
+    assert got.count() == 16 and got.exceptAll(want).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["forced_schemes_int", "scheme_roundtrip_int", "scheme_roundtrip_double", "double_scheme_depths"])
+def test_forced_schemes_send_a_column_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_1#" in plan or name == "double_scheme_depths"
+    assert "_2#" not in plan  # the third column of the pieces to encode
