@@ -98,8 +98,8 @@ def _own(config: Config, column: str) -> Config:
     return config.configure(overrides={path: scheme for (name, path), scheme in config.overrides.items() if name == column})
 
 
-def _encoder(kinds: dict[str, str], config: Config, of: dict[str, str]):
-    names = list(kinds)
+def _encoder(kinds: dict[str, str], config: Config, of: dict[str, str] | None = None):
+    names, of = list(kinds), of or {c: c for c in kinds}
 
     def run(table: pa.Table) -> pa.Table:
         source, kind, block, values, present = _gathered(table, names, kinds)
@@ -155,7 +155,7 @@ def encode_blocks(rows: DataFrame, config: Config = Config(), columns: list[str]
     ``of`` names the columns to return and the column of ``rows`` that each is made of: what is encoded in several ways is shuffled once.
     """
     kinds = column_kinds(rows, list(of.values()) if of else columns)
-    return _pieces(rows, kinds).groupBy("column_no", "block_id").applyInArrow(_encoder(kinds, config, of or {c: c for c in kinds}), ENCODED)
+    return _pieces(rows, kinds).groupBy("column_no", "block_id").applyInArrow(_encoder(kinds, config, of), ENCODED)
 
 
 def estimate_blocks(rows: DataFrame, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
